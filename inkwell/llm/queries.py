@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, simhash
+from . import chat, decontamination, simhash, substring
 
 PROBE = "</s>[INST] ok [/INST]"
 """Text of both turns of conversation -1, which looks like template marks."""
@@ -44,6 +44,29 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(_read(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP6_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, k, array_to_string(w[k : k + 19], ' ') AS win FROM words, unnest(range(1, len(w) - 18)) AS t(k)
+), firsts AS (
+  SELECT win, min({d: doc_id, k: k}) AS least FROM windows GROUP BY win HAVING count(*) > 1
+), gone AS (
+  SELECT doc_id, list(DISTINCT k + j) AS places
+  FROM windows JOIN firsts USING (win), unnest(range(20)) AS t(j) WHERE {d: doc_id, k: k} <> least GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN places IS NULL THEN array_to_string(w, ' ')
+    ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(places, i)), ' ') END) AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id)
+"""
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), ["doc_id"])
     return decontamination.report(found)
@@ -78,10 +101,12 @@ FROM words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_substring_dedup": op6_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op5_chat_formatting": OP5_SQL,
+    "op6_substring_dedup": OP6_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
 }
