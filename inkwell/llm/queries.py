@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontamination, simhash, substring
+from . import chat, decontamination, simhash, substring, toxicity
 
 PROBE = "</s>[INST] ok [/INST]"
 """Text of both turns of conversation -1, which looks like template marks."""
@@ -67,6 +68,13 @@ FROM words LEFT JOIN gone USING (doc_id)
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")), ["doc_id"])
+    held_out = F.coalesce(F.crc32(F.col("row.doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return scored.select("row.doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), ["doc_id"])
     return decontamination.report(found)
@@ -102,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_substring_dedup": op6_substring_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
