@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, pieces, simhash, substring, toxicity
+from . import chat, decontamination, neighbours, pieces, simhash, substring, toxicity
 
 PROBE = "</s>[INST] ok [/INST]"
 """Text of both turns of conversation -1, which looks like template marks."""
@@ -73,6 +73,10 @@ FROM words LEFT JOIN gone USING (doc_id)
 """
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     scored = toxicity.score_documents(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")), ["doc_id"])
@@ -116,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
