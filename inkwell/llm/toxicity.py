@@ -25,8 +25,8 @@ from .wordscan import PLAIN_WORDS, Chunk, Hasher, chunks, edges
 
 SPAN = 6
 DECAY = 0.7
-LANDMARKS = 96
-TRAIN_DOCS = 1500
+LANDMARKS = 64
+TRAIN_TOXIC, TRAIN_CLEAN = 1000, 2000
 """Labelled documents of either class that are fitted on at most, chosen by a hash of the id."""
 TRAIN_CHARS = 20_000
 """Longer documents are scored, but not fitted on."""
@@ -35,7 +35,7 @@ PER_DOC = 2
 ROUNDS = 5
 TRAIN_WORDS = 12_000
 """Clean words fitted on at random, and half as many that the round before took for the most toxic."""
-COST = 3
+COST = 3.0
 """Cost of an error on one word of one document, against the machine's norm."""
 
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -80,12 +80,12 @@ def units(chunk: Chunk) -> Units:
         new[1:] = ~(single[kept[1:]] & single[kept[:-1]]) | (row[kept[1:]] != row[kept[:-1]])
     first = kept[new]
     at = np.searchsorted(first, rows)
-    return Units(symbols[symbols > 0].astype(np.int32), sums[starts[first]], at)
+    return Units(symbols[symbols > 0], sums[starts[first]], at)
 
 
 def decisions(u: Units, table: np.ndarray) -> np.ndarray:
     """For each word: the decayed sum of ``table`` over its subsequences, scaled by length.  A table of rows gives a row each."""
-    s, n = u.symbols, len(u.symbols)
+    s, n = u.symbols.astype(np.int32), len(u.symbols)
     if not len(u.starts):
         return np.zeros((0, *table.shape[1:]), np.float32)
     ends = np.append(u.starts[1:], n)
@@ -113,7 +113,7 @@ def scale(lengths: np.ndarray) -> np.ndarray:
 def feature_table(symbols: np.ndarray) -> np.ndarray:
     """The subsequence features of one word, as a table."""
     out = np.zeros(1 << 18, np.float32)
-    n = len(symbols)
+    symbols, n = symbols.astype(np.int32), len(symbols)
     for a, b in OFFSETS:
         if n > b:
             np.add.at(out, (symbols[: n - b] << 12) | (symbols[a : n - b + a] << 6) | symbols[b:], DECAY ** (b - 1))
@@ -185,7 +185,7 @@ def _words_machine(parts: list[Units], labels: np.ndarray, seed: int) -> tuple[n
     counts = np.concatenate([np.diff(p.rows) for p in parts])
     doc = np.repeat(np.arange(len(counts)), counts)
     ends = np.append(starts[1:], len(symbols))
-    key = HASHES.words(symbols.astype(np.uint8), starts, ends)
+    key = HASHES.words(symbols, starts, ends)
     _, first, kind = np.unique(key, return_index=True, return_inverse=True)
     pairs = np.unique(doc.astype(np.int64) << 32 | kind)  # each word once in a document
     doc, kind = pairs >> 32, pairs & 0xFFFFFFFF
@@ -195,37 +195,44 @@ def _words_machine(parts: list[Units], labels: np.ndarray, seed: int) -> tuple[n
     p = (n1 + n0) / (d1 + d0)
     z = (n1 / d1 - n0 / d0) / np.sqrt(p * (1 - p) * (1 / d1 + 1 / d0) + 1e-12)
 
-    own = [symbols[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-    types = Units(np.concatenate(own), np.concatenate(([0], np.cumsum([len(s) for s in own])[:-1])), np.array([0, len(own)]))
+    at, length = starts[first], ends[first] - starts[first]
+    del key, pairs, starts, ends
+
+    def some_words(which: np.ndarray) -> Units:
+        n = length[which]
+        to = np.cumsum(n) - n
+        return Units(symbols[np.repeat(at[which] - to, n) + np.arange(n.sum())], to, np.array([0, len(which)]))
+
     rng = np.random.Generator(np.random.PCG64(seed))
-    ranked = [k for k in np.argsort(-z, kind="stable").tolist() if len(own[k]) >= 3]
-    chosen = ranked[: LANDMARKS * 3 // 4]
-    chosen += rng.permutation(ranked[len(chosen) :])[: LANDMARKS - len(chosen)].tolist()
-    tables = np.stack([feature_table(own[k]) for k in chosen])
-    values, vectors = np.linalg.eigh((tables @ tables.T).astype(np.float64))
+    ranked = np.argsort(-z, kind="stable")
+    ranked = ranked[length[ranked] >= 3]
+    top = LANDMARKS * 3 // 4
+    chosen = np.concatenate([ranked[:top], rng.permutation(ranked[top:])[: LANDMARKS - top]])
+    tables = np.empty((1 << 18, len(chosen)), np.float32)
+    for n, k in enumerate(chosen.tolist()):
+        tables[:, n] = feature_table(symbols[at[k] : at[k] + length[k]])
+    values, vectors = np.linalg.eigh((tables.T @ tables).astype(np.float64))
     good = values > 1e-4 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    spread = np.ascontiguousarray(tables.T)
 
-    place, known = np.full(len(own), -1), np.zeros((0, root.shape[1] + 1))
+    place, known = np.full(len(first), -1), np.zeros((0, root.shape[1] + 1))
 
     def features(which: np.ndarray) -> np.ndarray:
         nonlocal known
         new = which[place[which] < 0]
         if len(new):
-            lengths = np.array([len(own[k]) for k in new])
-            part = Units(np.concatenate([own[k] for k in new]), np.concatenate(([0], np.cumsum(lengths)[:-1])), np.array([0, len(new)]))
             place[new] = len(known) + np.arange(len(new))
-            known = np.concatenate([known, np.column_stack([decisions(part, spread) @ root, np.ones(len(new))])])
+            made = [decisions(some_words(new[k : k + 2048]), tables) @ root for k in range(0, len(new), 2048)]
+            known = np.concatenate([known, np.column_stack([np.concatenate(made), np.ones(len(new))])])
         return known[place[which]]
 
-    clean = np.flatnonzero(n0)
+    clean, everything = np.flatnonzero(n0), np.arange(len(first))
     some = rng.permutation(clean)[:TRAIN_WORDS]
     decision, w = z, None
     for _ in range(ROUNDS):
         order = np.lexsort((-decision[kind[toxic]], doc[toxic]))
         d, k = doc[toxic][order], kind[toxic][order]
-        pos = np.bincount(k[np.arange(len(d)) - np.searchsorted(d, d) < PER_DOC], minlength=len(own)).astype(float)
+        pos = np.bincount(k[np.arange(len(d)) - np.searchsorted(d, d) < PER_DOC], minlength=len(first)).astype(float)
         hard = clean[np.argsort(-decision[clean], kind="stable")[: TRAIN_WORDS // 2]]
         rest = np.setdiff1d(some, hard)
         neg = np.concatenate([hard, rest])
@@ -234,8 +241,8 @@ def _words_machine(parts: list[Units], labels: np.ndarray, seed: int) -> tuple[n
         y = np.concatenate([np.ones(len(use)), -np.ones(len(neg))])
         c = np.concatenate([pos[use], n0[hard] + 1, (n0[rest] + 1) * scale_up]) * COST
         w = _svm(features(np.concatenate([use, neg])), y, c, w)
-        table = ((root @ w[:-1]).astype(np.float32) @ tables).astype(np.float32)
-        decision = decisions(types, table) + w[-1]
+        table = (tables @ (root @ w[:-1]).astype(np.float32)).astype(np.float32)
+        decision = np.concatenate([decisions(some_words(everything[k : k + (1 << 14)]), table) for k in range(0, len(everything), 1 << 14)]) + w[-1]
     return table, float(w[-1])
 
 
@@ -266,24 +273,26 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(text, toxic) of up to TRAIN_DOCS documents of either class with up to TRAIN_CHARS characters, chosen by a hash of the id.
+    """(text, toxic) of up to TRAIN_TOXIC and TRAIN_CLEAN documents with up to TRAIN_CHARS characters, chosen by a hash of the id.
 
     A document with several labels counts as toxic if one says so; null ids and labels are left out.
     """
     told = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max("toxic") > 0).alias("toxic"))
     learnt = told.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
-    ids = None
-    for kind in (True, False):
-        some = learnt.where(F.col("toxic") == F.lit(kind)).orderBy(F.xxhash64("id"), "id").limit(2 * TRAIN_DOCS)
-        ids = some if ids is None else ids.unionByName(some)
+    ids = _some(learnt, 2)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= TRAIN_CHARS)
-    found = texts.join(F.broadcast(ids), "id")  # at most four times TRAIN_DOCS ids
-    first = found.groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
-    out = None
-    for kind in (True, False):
-        some = first.where(F.col("toxic") == F.lit(kind)).orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS)
-        out = some if out is None else out.unionByName(some)
-    return out.select("text", "toxic")
+    found = texts.join(F.broadcast(ids), "id")  # at most twice TRAIN_TOXIC and TRAIN_CLEAN ids
+    return _some(found.groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), 1)
+
+
+def _some(rows: DataFrame, times: int) -> DataFrame:
+    """Of either class as many rows as are fitted on, or ``times`` as many, in the order of a hash of the id."""
+
+    def of(toxic: bool, most: int) -> DataFrame:
+        return rows.where(F.col("toxic") == F.lit(toxic)).orderBy(F.xxhash64("id"), "id").limit(times * most)
+
+    return of(True, TRAIN_TOXIC).unionByName(of(False, TRAIN_CLEAN))
+
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
