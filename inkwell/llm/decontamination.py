@@ -6,6 +6,7 @@ are its runs of ``window`` consecutive words, or the whole item if it is shorter
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Workspace
+from .shared import Workspace, once_per_worker
 from .wordscan import ALNUM_WORDS, Chunk, chunks, words
 
 WINDOW = 10
@@ -78,9 +79,10 @@ SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 def _pass(items: list[tuple[str, str | None]], size: int, carried: int, again: bool, more: bool):
     """Batches have ``carried`` columns, then the text, then, if ``again``, what earlier passes found; the text stays if ``more``."""
+    key = ("matcher", size, hashlib.sha256(repr(items).encode()).hexdigest())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, size)
+        matcher = once_per_worker(key, lambda: Matcher(items, size))
         for b in batches:
             n_words, spans, found = [], [], []
             for chunk in chunks(b.column(carried)):

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import once_per_worker
 from .wordscan import Hasher, chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -238,10 +239,11 @@ def encode_documents(docs: DataFrame, carry: list[str], text_col: str = "text",
     give repeated rows.  Carried columns are in a struct of their own, so no name clashes.
     """
     vocabulary = load(model)
+    key = ("codec", hashlib.sha256(repr((vocabulary.ids, vocabulary.scores)).encode()).hexdigest())
     rows, names = _carried(docs, carry, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary)
+        codec = once_per_worker(key, lambda: Codec(vocabulary))
         for b in batches:
             done = 0
             for ids, at, data, starts in codec.encode(b.column(len(names))):

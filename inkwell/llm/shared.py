@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +46,16 @@ class Workspace:
     def drop(self, name: str) -> None:
         """Remove a table that no later step reads."""
         _remove(self.spark, f"{self.path}/{name}")
+
+
+def once_per_worker(key: object, build: Callable[[], object]) -> object:
+    """What ``build`` gives, built once in a Python process, which Spark uses for many tasks.
+
+    Functions travel to executors by value, so their own globals don't last; this store does.  It holds a few objects at most.
+    """
+    store = sys.modules.setdefault("_inkwell_worker", types.ModuleType("_inkwell_worker")).__dict__
+    if key not in store:
+        for old in [k for k in store if isinstance(k, tuple)][:-7]:
+            del store[old]
+        store[key] = build()
+    return store[key]
