@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, neighbours, pieces, quality, simhash, substring, tokenfiles, toxicity
+from . import chat, decontamination, licences, neighbours, pieces, quality, simhash, substring, tokenfiles, toxicity
 
 PROBE = "</s>[INST] ok [/INST]"
 """Text of both turns of conversation -1, which looks like template marks."""
@@ -88,6 +88,12 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(_read(spark, sf_dir, "embeddings"))
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source is a directory with one for each language; documents are its files."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licences.scan_licences(_read(spark, sf_dir, "documents"), path)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     scored = toxicity.score_documents(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")), ["doc_id"])
@@ -134,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_formatting": op5_chat_formatting,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_nearest_neighbours": op7_nearest_neighbours,
+    "op8_licence_scan": op8_licence_scan,
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
