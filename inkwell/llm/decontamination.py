@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Workspace, once_per_worker
+from .shared import Workspace, carried, once_per_worker, row_of
 from .wordscan import ALNUM_WORDS, Chunk, chunks, words
 
 WINDOW = 10
@@ -77,15 +77,15 @@ class Matcher:
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
-def _pass(items: list[tuple[str, str | None]], size: int, carried: int, again: bool, more: bool):
-    """Batches have ``carried`` columns, then the text, then, if ``again``, what earlier passes found; the text stays if ``more``."""
+def _pass(items: list[tuple[str, str | None]], size: int, text_at: int, kept: int, again: bool):
+    """Batches have the text at ``text_at`` and, if ``again``, what earlier passes found; the first ``kept`` columns stay."""
     key = ("matcher", size, hashlib.sha256(repr(items).encode()).hexdigest())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = once_per_worker(key, lambda: Matcher(items, size))
         for b in batches:
             n_words, spans, found = [], [], []
-            for chunk in chunks(b.column(carried)):
+            for chunk in chunks(b.column(text_at)):
                 for n, hit, got in matcher.scan(chunk):
                     n_words.append(n)
                     spans.append(hit)
@@ -95,7 +95,6 @@ def _pass(items: list[tuple[str, str | None]], size: int, carried: int, again: b
                     if old:
                         spans[k] = _merge(sorted([*spans[k], *((x["first"], x["last"]) for x in old)]))
                         found[k] = found[k] | set(had)
-            kept = carried + more
             yield pa.RecordBatch.from_arrays(
                 [
                     *b.columns[:kept],
@@ -141,21 +140,19 @@ def find_contamination(docs: DataFrame, items: DataFrame, carry: list[str], text
     named = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // limit))
-    names = [f"c{k}" for k in range(len(carry))]
-    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)), F.col(text_col).alias("text"))
-    carried, text = list(rows.schema)[:-1], rows.schema[-1]
+    rows, names, text_at = carried(docs, carry, text_col)
+    fields = list(rows.schema)
     span = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
     made = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.StringType()))]
     work = Workspace(docs.sparkSession, "decontamination") if parts > 1 else None
     for k in range(parts):
         part = named if parts == 1 else named.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
         more = k < parts - 1
-        run = _pass([tuple(r) for r in part.collect()], size, len(carry), k > 0, more)
-        rows = rows.mapInArrow(run, T.StructType([*carried, *[text] * more, *made]))
+        kept = len(fields) if more else len(names)
+        rows = rows.mapInArrow(_pass([tuple(r) for r in part.collect()], size, text_at, kept, k > 0), T.StructType([*fields[:kept], *made]))
         if more:
             rows = work.keep(rows, f"pass-{k}")
-    row = F.struct(*(F.col(n).alias(c) for c, n in zip(carry, names, strict=True)))
-    return rows.select(row.alias("row"), "n_words", "spans", "items")
+    return rows.select(row_of(carry, names), "n_words", "spans", "items")
 
 
 def report(found: DataFrame) -> DataFrame:

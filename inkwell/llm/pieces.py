@@ -18,10 +18,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import once_per_worker
+from .shared import carried, once_per_worker, row_of
 from .wordscan import Hasher, chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -225,11 +224,6 @@ class Codec:
         return self.bytes_[np.repeat(self.at[ids] - to[:-1], n) + np.arange(to[-1])], to[rows]
 
 
-def _carried(docs: DataFrame, carry: list[str], text_col: str) -> tuple[DataFrame, list[str]]:
-    names = [f"c{k}" for k in range(len(carry))]
-    return docs.select(*(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)), F.col(text_col).alias("text")), names
-
-
 def encode_documents(docs: DataFrame, carry: list[str], text_col: str = "text", model: str = MODEL, keep_ids: bool = True) -> DataFrame:
     """One row for each row of ``docs``: row (a struct of the columns ``carry``), n_ids, ids (only if ``keep_ids``), ids_sha256 (of the
     ids as 32-bit little-endian numbers), decoded_sha256 (of the text decoded again) and round_trip: whether it equals the text.
@@ -240,13 +234,13 @@ def encode_documents(docs: DataFrame, carry: list[str], text_col: str = "text",
     """
     vocabulary = load(model)
     key = ("codec", hashlib.sha256(repr((vocabulary.ids, vocabulary.scores)).encode()).hexdigest())
-    rows, names = _carried(docs, carry, text_col)
+    rows, names, text_at = carried(docs, carry, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = once_per_worker(key, lambda: Codec(vocabulary))
         for b in batches:
             done = 0
-            for ids, at, data, starts in codec.encode(b.column(len(names))):
+            for ids, at, data, starts in codec.encode(b.column(text_at)):
                 back, back_at = codec.decode(ids, at)
                 n = len(at) - 1
                 ids_sha, text_sha, same = [], [], []
@@ -267,6 +261,6 @@ def encode_documents(docs: DataFrame, carry: list[str], text_col: str = "text",
     if keep_ids:
         made.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
     made += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
-    schema = T.StructType([*list(rows.schema)[:-1], *made])
+    schema = T.StructType([*list(rows.schema)[: len(names)], *made])
     out = rows.mapInArrow(run, schema)
-    return out.select(F.struct(*(F.col(n).alias(c) for c, n in zip(carry, names, strict=True))).alias("row"), *(f.name for f in made))
+    return out.select(row_of(carry, names), *(f.name for f in made))

@@ -10,7 +10,8 @@ import types
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,3 +60,17 @@ def once_per_worker(key: object, build: Callable[[], object]) -> object:
             del store[old]
         store[key] = build()
     return store[key]
+
+
+def carried(docs: DataFrame, carry: list[str], text_col: str) -> tuple[DataFrame, list[str], int]:
+    """The columns to carry through a scan under names of our own, the names, and where the text is: among them or right after."""
+    names = [f"c{k}" for k in range(len(carry))]
+    columns = [F.col(c).alias(n) for c, n in zip(carry, names, strict=True)]
+    if text_col in carry:
+        return docs.select(*columns), names, carry.index(text_col)
+    return docs.select(*columns, F.col(text_col).alias("text")), names, len(names)
+
+
+def row_of(carry: list[str], names: list[str]) -> Column:
+    """The carried columns as a struct ``row``, so that their names clash with none."""
+    return F.struct(*(F.col(n).alias(c) for c, n in zip(carry, names, strict=True))).alias("row")

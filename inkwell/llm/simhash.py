@@ -245,3 +245,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = parts.groupBy("part").agg(F.min("least").alias("component_id"))
     named = parts.join(least, "part").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` but near copies: of each component the row with the smallest id stays, with all its columns.
+
+    Of rows that share this id one stays.  Rows with a null id can't be told apart by id; all of them stay.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
+    named = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").dropDuplicates([id_col])
+    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -15,12 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, row_of
 from .wordscan import PLAIN_WORDS, Hasher, Words, chunks, words
 
 WINDOW = 20
@@ -229,7 +230,7 @@ def _merge_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _cut(window: int, carried: int):
-    """Batches have ``carried`` columns, then text and ranges of window starts; gives counts and the kept words."""
+    """Batches have ``carried`` columns, then text and ranges of window starts; gives counts and the text without them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -259,7 +260,7 @@ def _cut(window: int, carried: int):
                     kept.append(rest.decode() if gone else None)
                     sha.append(hashlib.sha256(rest).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:carried], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string())],
+                [*b.columns[:carried], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pc.coalesce(pa.array(kept, text.type), text), pa.array(sha, pa.string())],
                 names=[*b.schema.names[:carried], "n_words", "n_removed", "kept", "sha"],
             )
 
@@ -270,7 +271,7 @@ def remove_repeats(docs: DataFrame, carry: list[str], id_col: str = "doc_id", te
     """One row for each row of ``docs``: row (a struct of the columns ``carry``), n_words, n_removed, kept, kept_sha256.
 
     A word goes if a window of ``window`` words over it also starts at a smaller (id, start).  ``kept`` is the kept words joined by
-    one space if any word went, else null: the text stands as it was.  The digest is of the kept words in either case.
+    one space if any word went, else the text as it was.  The digest is of the kept words joined by one space in either case.
 
     Null and empty texts, and texts shorter than a window, lose nothing.  Rows that share an id are one document as to order: a
     window at the same start is not earlier.  A null id comes before all others.  Carried columns are in a struct of their own, so
@@ -298,5 +299,4 @@ def remove_repeats(docs: DataFrame, carry: list[str], id_col: str = "doc_id", te
     joined = all_.join(ranges, F.col("id").eqNullSafe(F.col("rid")), "left").select(*names, "text", "ranges")
     carried = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema[: len(names)])
     out = joined.mapInArrow(_cut(window, len(names)), f"{carried}, n_words bigint, n_removed bigint, kept string, sha string")
-    row = F.struct(*(F.col(n).alias(c) for c, n in zip(carry, names, strict=True)))
-    return out.select(row.alias("row"), "n_words", "n_removed", "kept", F.col("sha").alias("kept_sha256"))
+    return out.select(row_of(carry, names), "n_words", "n_removed", "kept", F.col("sha").alias("kept_sha256"))

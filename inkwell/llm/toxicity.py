@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import carried, row_of
 from .wordscan import PLAIN_WORDS, Chunk, Hasher, chunks, edges
 
 SPAN = 6
@@ -307,14 +308,13 @@ def score_documents(docs: DataFrame, model: Model, carry: list[str], text_col: s
 
     Null and empty texts get the score of a text without words.  Carried columns are in a struct of their own, so no name clashes.
     """
-    names = [f"c{k}" for k in range(len(carry))]
-    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)), F.col(text_col).alias("text"))
+    rows, names, text_at = carried(docs, carry, text_col)
     table, bias, doc = model.table, model.bias, model.doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(table, bias, doc)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores(own, b.column(len(names))))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(scores(own, b.column(text_at)))], names=[*names, "score"])
 
-    out = rows.mapInArrow(run, T.StructType([*list(rows.schema)[:-1], T.StructField("score", T.DoubleType())]))
-    return out.select(F.struct(*(F.col(n).alias(c) for c, n in zip(carry, names, strict=True))).alias("row"), "score")
+    out = rows.mapInArrow(run, T.StructType([*list(rows.schema)[: len(names)], T.StructField("score", T.DoubleType())]))
+    return out.select(row_of(carry, names), "score")
