@@ -26,8 +26,8 @@ from .wordscan import Hasher, chunks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 HASHES = Hasher(0x51ECE)
-CHUNK_BYTES = 8 << 20
-MEMO = 400_000
+CHUNK_BYTES = 1 << 20
+MEMO = 150_000
 """Words, and pairs of pieces, that a task remembers at most before it starts afresh."""
 
 

@@ -154,7 +154,7 @@ class Hasher:
 
     def _powers(self, kind: dict, base: int, n: int) -> np.ndarray:
         if len(kind.get(base, ())) < n:
-            kind[base] = powers(base, max(n, CHUNK_BYTES + 64))
+            kind[base] = powers(base, max(n, (CHUNK_BYTES + CHUNK_BYTES // 8)))
         return kind[base][:n]
 
     def _runs(self, values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
