@@ -27,7 +27,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 HASHES = Hasher(0x51ECE)
 CHUNK_BYTES = 1 << 20
-MEMO = 150_000
+MEMO = 300_000
 """Words, and pairs of pieces, that a task remembers at most before it starts afresh."""
 
 
