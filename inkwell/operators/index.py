@@ -23,6 +23,15 @@ DOCUMENTS = T.StructType(
 )
 
 
+SCHEMAS = {
+    "documents": "doc_id bigint, seq bigint, title string, body string, url string, tags array<string>, created_at timestamp, title_len int, body_len int",
+    "postings": "term string, doc_id bigint, title array<int>, body array<int>",
+    "terms": "term string, df bigint",
+    "vocab": "word string, freq bigint, len int, first string",
+    "stats": "doc_count bigint, title_len bigint, body_len bigint",
+}
+
+
 @dataclass
 class Index:
     """``documents`` also has title_len and body_len; ``stats`` has one row."""
@@ -55,8 +64,8 @@ class Index:
 
 
 def read_index(spark: SparkSession, path: str, stemmed: bool = True) -> Index:
-    tables = {n: spark.read.parquet(f"{path}/{n}") for n in ("documents", "postings", "terms", "vocab", "stats")}
-    tables["vocab"] = tables["vocab"].select("word", "freq", F.col("first").cast("string").alias("first"), "len")
+    tables = {n: spark.read.schema(schema).parquet(f"{path}/{n}") for n, schema in SCHEMAS.items()}
+    tables["vocab"] = tables["vocab"].select("word", "freq", "first", "len")
     return Index(**tables, stemmed=stemmed)
 
 
