@@ -248,12 +248,12 @@ def _words_machine(parts: list[Units], labels: np.ndarray, seed: int) -> tuple[n
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
-    """Train on documents.  Without both classes the model scores every text by the share of toxic ones.
+    """Train on documents.  With fewer than four of a class every text gets the share of toxic ones, 0.01 without labels.
 
     The document weights are fitted on decisions by a machine that was trained on the other half of the documents.
     """
     labels = np.asarray(labels, np.float64)
-    share = (labels.sum() + 1e-3) / (len(labels) + 2e-3)
+    share = (labels.sum() + 0.01) / (len(labels) + 1)
     if min(labels.sum(), (1 - labels).sum()) < 4:
         return Model(np.zeros(1 << 18, np.float32), -1.0, np.array([0, 0, 0, np.log(share / (1 - share))]))
     half = np.empty(len(labels), bool)
