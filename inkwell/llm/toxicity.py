@@ -12,6 +12,8 @@ instances: in a toxic document its highest words count as toxic, in a clean one
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -186,7 +188,7 @@ def _words_machine(parts: list[Units], labels: np.ndarray, seed: int) -> tuple[n
     counts = np.concatenate([np.diff(p.rows) for p in parts])
     doc = np.repeat(np.arange(len(counts)), counts)
     ends = np.append(starts[1:], len(symbols))
-    key = HASHES.words(symbols, starts, ends)
+    key = np.concatenate([HASHES.words(p.symbols, p.starts, np.append(p.starts[1:], len(p.symbols))[: len(p.starts)]) for p in parts])
     _, first, kind = np.unique(key, return_index=True, return_inverse=True)
     pairs = np.unique(doc.astype(np.int64) << 32 | kind)  # each word once in a document
     doc, kind = pairs >> 32, pairs & 0xFFFFFFFF
@@ -300,7 +302,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on the labelled documents whose crc32 of the id modulo 5 is not 0."""
     rows = training_rows(docs, labels, id_col, text_col).collect()
     rows.sort(key=lambda r: (r.text, r.toxic))
-    return fit([r.text for r in rows], np.array([r.toxic for r in rows], np.float64))
+    model = fit([r.text for r in rows], np.array([r.toxic for r in rows], np.float64))
+    with contextlib.suppress(OSError, AttributeError):  # give freed memory back at once, where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text") -> DataFrame:
