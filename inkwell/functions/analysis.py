@@ -47,9 +47,8 @@ def _folding() -> tuple[str, str, dict[str, str], str]:
 def folded(text: Column) -> Column:
     """``fold`` as an expression.  Characters that become several are replaced only in texts that have any."""
     source, target, several, pattern = _folding()
-    wide = text
-    for c, to in several.items():
-        wide = F.replace(wide, F.lit(c), F.lit(to))
+    parts = F.map_from_arrays(*(F.split(F.lit("\t".join(x)), "\t") for x in (several, several.values())))
+    wide = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(parts[c], c)), "")
     return F.lower(F.translate(F.when(text.rlike(pattern), wide).otherwise(text), source, target))
 
 

@@ -47,17 +47,22 @@ class Index:
         """Store the tables below ``path`` (any store Spark writes to) and give an index that reads them.
 
         Postings and terms are range-partitioned and sorted by term, so that a query's term filter skips all but a few row groups;
-        vocabulary is partitioned by first character.
+        vocabulary is partitioned by first character.  Term counts and corpus sums are taken from the postings and documents as
+        stored, so that texts are analysed no more often than needed.
         """
         spark = self.documents.sparkSession
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
-        for name in ("postings", "terms"):
-            table = getattr(self, name)
-            table.repartitionByRange(partitions, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/{name}")
+        self._sorted(self.postings, partitions).write.mode("overwrite").parquet(f"{path}/postings")
+        stored = {n: spark.read.schema(SCHEMAS[n]).parquet(f"{path}/{n}") for n in ("documents", "postings")}
+        self._sorted(terms_of(stored["postings"]), partitions).write.mode("overwrite").parquet(f"{path}/terms")
         self.vocab.repartition("first").write.mode("overwrite").partitionBy("first").parquet(f"{path}/vocab")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        stats_of(stored["documents"]).write.mode("overwrite").parquet(f"{path}/stats")
         return read_index(spark, path, self.stemmed)
 
+    @staticmethod
+    def _sorted(table: DataFrame, partitions: int) -> DataFrame:
+        return table.repartitionByRange(partitions, "term").sortWithinPartitions("term")
+
     def cached(self) -> Index:
         """Keep the tables in memory or on local disk, for repeated queries."""
         return replace(self, **{n: getattr(self, n).cache() for n in ("documents", "postings", "terms", "vocab", "stats")})
