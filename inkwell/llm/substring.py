@@ -287,10 +287,13 @@ def remove_repeats(docs: DataFrame, carry: list[str], id_col: str = "doc_id", te
     found = work.keep(index.candidates(), "candidates")
     index.close()
 
-    names = [f"c{k}" for k in range(len(carry))]
-    all_ = docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)), F.col(text_col).alias("text"))
+    # both joins below take the same columns, so that the texts are dealt by id once
+    names = ["id" if c == id_col else f"c{k}" for k, c in enumerate(carry)]
+    others = [(c, n) for c, n in zip(carry, names, strict=True) if n != "id"]
+    all_ = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in others))
     id_type = rows.schema["id"].dataType.simpleString()
-    near = all_.join(found.withColumnRenamed("id", "cid"), F.col("id").eqNullSafe(F.col("cid"))).select("id", "text", "fps").sortWithinPartitions("id")
+    near = all_.join(found.withColumnRenamed("id", "cid"), F.col("id").eqNullSafe(F.col("cid")))
+    near = near.select("id", "text", "fps", *(n for _, n in others)).sortWithinPartitions("id")
     seen = near.mapInArrow(_window_rows(window, gram), WINDOW_SCHEMA.format(id=id_type))
     least = F.min(F.struct("id", "first")).over(W.partitionBy("fp", "digest"))
     again = seen.repartition("fp").withColumn("least", least).where(F.col("sure") | (F.struct("id", "first") != F.col("least")))
