@@ -8,7 +8,7 @@ shard; trees are not broadcast, since together they grow with the corpus.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import Workspace
-from .wordscan import LOWER_WORDS, chunks, words
+from .wordscan import LOWER_WORDS, Chunk, chunks, words
 from .xxh64 import xxh64
 
 SEED = 42
@@ -54,17 +54,20 @@ def fingerprints(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def shingle_hashes(chunk: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every shingle of ``size`` words, and where each text's begin; a shorter text has one, all its words."""
+    w = words(chunk, LOWER_WORDS)
+    n = np.diff(w.rows)
+    shingles = np.where(n >= size, n - size + 1, np.minimum(n, 1))
+    rows = np.concatenate(([0], np.cumsum(shingles)))
+    first = np.arange(rows[-1]) - np.repeat(rows[:-1], shingles) + np.repeat(w.rows[:-1], shingles)
+    last = first + np.repeat(np.minimum(n, size), shingles) - 1
+    return xxh64(w.data, w.starts[first], w.ends[last], SEED), rows
+
+
 def text_fingerprints(column: pa.Array) -> np.ndarray:
     """The fingerprint of each text of an Arrow column, as int64."""
-    done = []
-    for chunk in chunks(column):
-        w = words(chunk, LOWER_WORDS)
-        n = np.diff(w.rows)
-        shingles = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
-        rows = np.concatenate(([0], np.cumsum(shingles)))
-        first = np.arange(rows[-1]) - np.repeat(rows[:-1], shingles) + np.repeat(w.rows[:-1], shingles)
-        last = first + np.repeat(np.minimum(n, SHINGLE), shingles) - 1
-        done.append(fingerprints(xxh64(w.data, w.starts[first], w.ends[last], SEED), rows))
+    done = [fingerprints(*shingle_hashes(chunk, SHINGLE)) for chunk in chunks(column)]
     return np.concatenate(done).view(np.int64) if done else np.zeros(0, np.int64)
 
 
@@ -247,12 +250,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` but near copies: of each component the row with the smallest id stays, with all its columns.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of ``docs`` but near copies, which ``find`` tells: of each component the row with the smallest id stays, with all its columns.
 
     Of rows that share this id one stays.  Rows with a null id can't be told apart by id; all of them stay.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = find(docs, id_col, text_col)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
     named = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").dropDuplicates([id_col])
     return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -1,4 +1,7 @@
+import random
+
 import corpus_pipeline
+from inkwell.llm import jaccard
 from inkwell.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -21,3 +24,31 @@ def test_stages_keep_columns_and_clean_documents(spark):
 
 def test_names():
     assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(8)
+    base = [[rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(rng.choice([3, 20, 60, 200]))] for _ in range(12)]
+    common = ["all", "rights", "reserved", "by", "the", "owner", "of", "this", "text"]
+    texts = [None, "", "one two", "One  TWO", "one two three"]
+    for k in range(160):
+        words = list(base[k % 12])
+        for _ in range(rng.randint(0, 1 + len(words) // 25)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(1000)}"
+        texts.append(" ".join(words + common * (k % 3 == 0)))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))})
+    least = list(range(len(texts)))
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in pairs:
+            least[i] = least[j] = min(least[i], least[j])
+    assert 20 < len(set(least)) < 150
+    rows = [(k, t, "en", "web", len(t or "")) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    for sample in (40_000, 10):
+        assert {r.doc_id: r.component_id for r in jaccard.near_copies(docs, sample=sample).collect()} == dict(enumerate(least))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()) == sorted(set(least))
+    assert jaccard.near_copies(docs.limit(0)).count() == 0
