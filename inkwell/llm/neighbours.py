@@ -80,6 +80,12 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, query: int, x: np.ndarray, k:
     if len(ids) > k:
         bound = np.partition(rough, k - 1)[k - 1]
         near = np.flatnonzero(rough <= bound + 1e-9 * (1 + abs(bound)))
+        if len(near) < len(ids) and len(np.unique(ids[near])) < k:  # repeated ids took places of others
+            each, of = np.unique(ids, return_inverse=True)
+            least = np.full(len(each), np.inf)
+            np.minimum.at(least, of, rough)
+            bound = np.partition(least, k - 1)[k - 1] if len(each) > k else np.inf
+            near = np.flatnonzero(rough <= bound + 1e-9 * (1 + abs(bound)))
     else:
         near = np.arange(len(ids))
     near = near[np.isfinite(rough[near])]

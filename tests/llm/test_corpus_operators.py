@@ -280,6 +280,20 @@ def test_neighbours(spark):
     assert neighbours.nearest_neighbours(table.limit(0)).count() == 0
 
 
+def test_neighbours_with_an_id_repeated_often(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=16) + 0.01 * rng.normal(size=(40, 16))  # one bucket in each table
+    near = [(1, (x[0] + 0.0001 * rng.normal(size=16)).tolist()) for _ in range(20)]
+    rows = [(k, v.tolist()) for k, v in enumerate(x) if k != 1] + near
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1)
+    got = sorted(neighbours.nearest_neighbours(table, every=40, probes=32).collect(), key=lambda r: r["rank"])
+    least = {}
+    for k, v in rows[1:]:
+        least[k] = min(least.get(k, np.inf), float(np.sqrt(((np.array(v) - x[0]) ** 2).sum())))
+    assert [r.vec_id for r in got] == sorted(least, key=least.get)[:10]
+    assert all(abs(r.score - least[r.vec_id]) < 1e-12 for r in got)
+
+
 # --- 9, 1, 8 ----------------------------------------------------------------------------------------------------------
 
 
