@@ -1,7 +1,8 @@
 """Licence scans: TF-IDF cosine of a text's lines to licence templates, then inheritance from the nearest ancestor directory.
 
 Every line is compared, wherever it stands, so headers, footers and whole licence files are all found.  Lines of more than
-``LINE`` words are compared in overlapping windows.  A directory's licence is what its licence files say.
+``LINE`` words are compared in overlapping windows.  Besides, each template is compared with every window of its own length, across
+lines too, so a notice inside a paragraph is found.  A directory's licence is what its licence files say.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .wordscan import ALNUM_WORDS, Hasher, chunks, edges
 HASHES = Hasher(0x11CE)
 LINE, WINDOW, STRIDE = 40, 32, 16
 THRESHOLD = 0.6
+RARE_OF = 10_000
+"""Words outside the templates weigh as if in none of this many documents, or of all if they are fewer."""
 FILE_SHARE = 0.5
 """A text of which at least this share of words stands in licence lines is a licence file."""
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
@@ -73,9 +76,10 @@ class Vocabulary:
 
     def weigh(self, n: int, df: np.ndarray) -> None:
         self.idf = np.log((n + 1) / (df + 1)) + 1
-        self.rare = np.log(n + 1) + 1  # of a word that is in no template
+        self.rare = np.log(min(n, RARE_OF) + 1) + 1  # of a word that is in no template
         weights = self.counts * self.idf
         self.unit = weights / np.linalg.norm(weights, axis=1, keepdims=True)
+        self.sizes = self.counts.sum(axis=1).astype(np.int64)
 
 
 def _terms(chunk, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,6 +98,27 @@ def document_counts(texts: pa.Array, vocabulary: Vocabulary) -> np.ndarray:
     return df
 
 
+def _own_windows(term: np.ndarray, rows: np.ndarray, v: Vocabulary, threshold: float) -> np.ndarray:
+    """The windows (begin, end) of a template's own length within a text whose cosine to it may reach the threshold.
+
+    The dot product is a sum over a window's words, and the squared norm at least the sum of their squared weights.
+    """
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    hit = term >= 0
+    weight = np.append(v.idf, v.rare)[term]
+    norms = np.concatenate(([0], np.cumsum(weight**2)))
+    found = [np.zeros((0, 2), np.int64)]
+    for k, size in enumerate(v.sizes.tolist()):
+        if size > len(term):
+            continue
+        dots = np.concatenate(([0], np.cumsum(np.where(hit, np.append(v.idf * v.unit[k], 0)[term], 0))))
+        dot = dots[size:] - dots[:-size]
+        near = np.flatnonzero((dot > 0) & (dot**2 >= (threshold - 1e-6) ** 2 * (norms[size:] - norms[:-size])))
+        near = near[row[near] == row[near + size - 1]]
+        found.append(np.column_stack([near, near + size]))
+    return np.unique(np.concatenate(found), axis=0)
+
+
 def scan(texts: pa.Array, v: Vocabulary, threshold: float = THRESHOLD) -> Iterator[tuple[str | None, float, float]]:
     """For each text: the best-matching licence (the first template if equal), its cosine, and the share of words in licence lines."""
     for chunk in chunks(texts):
@@ -107,9 +132,13 @@ def scan(texts: pa.Array, v: Vocabulary, threshold: float = THRESHOLD) -> Iterat
         for a, b in zip(first[long].tolist(), last[long].tolist(), strict=True):
             begin = np.arange(a, max(b - WINDOW + STRIDE, a + 1), STRIDE)
             spans.append(np.column_stack([begin, np.minimum(begin + WINDOW, b)]))
-        spans = np.concatenate(spans)
+        lines = np.concatenate(spans)
+        own = _own_windows(term, rows, v, threshold)
+        spans = np.concatenate([lines, own])
+        whole = np.arange(len(spans)) < len(lines)
         known = np.concatenate(([0], np.cumsum(term >= 0)))
-        spans = spans[known[spans[:, 1]] > known[spans[:, 0]]]
+        some = known[spans[:, 1]] > known[spans[:, 0]]
+        spans, whole = spans[some], whole[some]
         best, score, words = np.full(n, -1), np.zeros(n), [[] for _ in range(n)]
         if len(spans):
             size = spans[:, 1] - spans[:, 0]
@@ -126,9 +155,15 @@ def scan(texts: pa.Array, v: Vocabulary, threshold: float = THRESHOLD) -> Iterat
             top = cosine.argmax(axis=1)
             value = np.round(cosine[np.arange(len(spans)), top], 9)
             row = np.searchsorted(rows, spans[:, 0], side="right") - 1
-            for k in np.flatnonzero(value >= threshold).tolist():
-                r = row[k]
-                words[r].append((int(spans[k, 0]), int(spans[k, 1])))
+            taken = [set() for _ in range(n)]
+            hits = np.flatnonzero(value >= threshold)
+            for k in hits[np.lexsort((hits, -value[hits], ~whole[hits]))].tolist():
+                r, span = row[k], (int(spans[k, 0]), int(spans[k, 1]))
+                if whole[k]:
+                    words[r].append(span)
+                elif taken[r].isdisjoint(range(*span)):  # of windows that overlap the best counts
+                    taken[r].update(range(*span))
+                    words[r].append(span)
                 if value[k] > score[r] or (value[k] == score[r] and top[k] < best[r]):
                     best[r], score[r] = top[k], value[k]
         for r in range(n):

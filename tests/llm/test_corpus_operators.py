@@ -360,3 +360,20 @@ def test_licences(spark):
     assert (found[3].licence, found[3].origin) == ("GPL-3.0", "a/b") and (found[5].licence, found[5].origin) == ("MIT", "a")
     assert found[2].origin == "text" and found[6].licence is None and found[8].licence is None and found[9].licence == "GPL-3.0"
     assert licences.scan_licences(table.limit(0), F.col("path")).count() == 0
+
+
+def test_embedded_licence_notices():
+    """At the production threshold, with few and with many documents."""
+    word = " ".join(["filler"] * 60)
+    texts = {
+        word + " Licensed under CC BY 4.0. " + word: "CC-BY-4.0",
+        word + " Released under the MIT\nLicense, " + word: "MIT",
+        "Released under the MIT License by two people": "MIT",
+        word + " Licensed under CC BY-SA 4.0 " + word: "CC-BY-SA-4.0",
+        "the " + word + " of the License " + word: None,
+    }
+    for n in (10, 10_000, 10_000_000):
+        v = licences.Vocabulary()
+        v.weigh(n, np.full(len(v.terms), n // 20))
+        assert [r[0] for r in licences.scan(pa.array(list(texts)), v)] == list(texts.values()), n
+        assert all(r[2] < 0.2 for r in list(licences.scan(pa.array(list(texts)), v))[:2])
