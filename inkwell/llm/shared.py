@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder where none is set, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``; where none is set and all runs in one process, as in tests, a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="inkwell-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -74,3 +76,23 @@ def carried(docs: DataFrame, carry: list[str], text_col: str) -> tuple[DataFrame
 def row_of(carry: list[str], names: list[str]) -> Column:
     """The carried columns as a struct ``row``, so that their names clash with none."""
     return F.struct(*(F.col(n).alias(c) for c, n in zip(carry, names, strict=True))).alias("row")
+
+
+HOT_PART = 10_000
+"""Keys of more than one in so many rows are hot; there are at most so many of them."""
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", least: int = 1000) -> DataFrame:
+    """Join ``rows`` with ``table``, which has one row for each key and the number ``n`` of its rows, without dealing a hot key to one task.
+
+    Hot keys, of more than ``least`` rows and more than one in HOT_PART of all, are broadcast: at most HOT_PART of them, however
+    large the tables are.  All others are joined as Spark sees fit.  Both tables are read several times, so they should be stored.
+    The result has the columns of ``rows`` and of ``table`` without ``n``; keys are never null in ``table``.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(least, total // HOT_PART)
+    few, rest = table.where(hot).drop("n"), table.where(~hot).drop("n")
+    if few.isEmpty():
+        return rows.join(rest, keys, how)
+    cold = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    return rows.join(F.broadcast(few), keys).unionByName(cold)

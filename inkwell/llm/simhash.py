@@ -3,7 +3,7 @@
 A fingerprint is 64 bits: a bit is set if it is set in over half of the XXH64 values of a text's word shingles.  Two
 fingerprints within ``radius`` bits agree on all but ``radius`` of any larger number of bit blocks, so fingerprints that agree
 on the same blocks form a shard, and a BK-tree in each shard finds the links.  A shard's tree stays in the task that holds the
-shard; trees are not broadcast, since together they grow with the corpus.
+shard.  Trees are not broadcast: that takes the fingerprints of all documents through the driver, which no job may do.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import Workspace
+from .shared import Workspace, carried, spread_join
 from .wordscan import LOWER_WORDS, Chunk, chunks, words
 from .xxh64 import xxh64
 
@@ -71,15 +72,15 @@ def text_fingerprints(column: pa.Array) -> np.ndarray:
     return np.concatenate(done).view(np.int64) if done else np.zeros(0, np.int64)
 
 
-def with_fingerprint(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, fp): the 64-bit fingerprint of every text; null and empty texts get zero."""
+def with_key(docs: DataFrame, carry: list[str], text_col: str, key: Callable[[pa.Array], np.ndarray]) -> tuple[DataFrame, list[str]]:
+    """The columns ``carry`` and ``key``, a 64-bit number that ``key`` gives each text, and the names that the former have here."""
+    rows, names, text_at = carried(docs, carry, text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text_fingerprints(b.column(1)))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(key(b.column(text_at)))], names=[*names, "key"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(scan, T.StructType([*list(rows.schema)[: len(names)], T.StructField("key", T.LongType())])), names
 
 
 # --- shards and trees -------------------------------------------------------------------------------------------------
@@ -233,6 +234,23 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, hot: int = HOT_SHARD) ->
     return dealt.mapInArrow(_link_shards(radius), "a bigint, b bigint")
 
 
+def fingerprint_groups(docs: DataFrame, id_col: str, text_col: str, work: Workspace, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: (id, key), the fingerprint of every text, and (key, part) for each fingerprint, its component's smallest one."""
+    keyed, (name,) = with_key(docs, [id_col], text_col, text_fingerprints)
+    rows = work.keep(keyed.select(F.col(name).alias("id"), "key"), "rows")
+    keys = work.keep(rows.select(F.col("key").alias("fp")).distinct(), "keys")
+    found = connected_components(links(keys, keys.count(), radius), work)
+    parts = keys.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(F.col("fp").alias("key"), F.coalesce("component", "fp").alias("part"))
+    return rows, work.keep(parts, "parts")
+
+
+def named(rows: DataFrame, parts: DataFrame, work: Workspace) -> DataFrame:
+    """The rows (id, key) with component_id, the smallest id of their component, null only if all its ids are."""
+    keys = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).join(parts, "key")
+    least = keys.groupBy("part").agg(F.min("least").alias("component_id"))
+    return spread_join(rows, work.keep(keys.join(least, "part").select("key", "n", "component_id"), "named"), ["key"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links.
 
@@ -241,21 +259,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id, which is null only if all ids of a component are.  An empty table gives an empty result.
     """
     work = Workspace(docs.sparkSession, "simhash")
-    rows = work.keep(with_fingerprint(docs, id_col, text_col), "rows")
-    nodes = work.keep(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    parts = connected_components(links(nodes.select("fp"), nodes.count(), radius), work)
-    parts = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
-    least = parts.groupBy("part").agg(F.min("least").alias("component_id"))
-    named = parts.join(least, "part").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows, parts = fingerprint_groups(docs, id_col, text_col, work, radius)
+    return named(rows, parts, work).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("key"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
-    """The rows of ``docs`` but near copies, which ``find`` tells: of each component the row with the smallest id stays, with all its columns.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., tuple[DataFrame, DataFrame]] = fingerprint_groups, key: Callable[[pa.Array], np.ndarray] = text_fingerprints) -> DataFrame:
+    """The rows of ``docs`` but near copies, which ``find`` and ``key`` tell: of each component one row stays, with all its columns.
 
-    Of rows that share this id one stays.  Rows with a null id can't be told apart by id; all of them stay.
+    It is the row with the smallest id, a null id counting as the largest; of several with this id that with the smallest key; of
+    several with this key too that with the smallest hash of all its columns.  So rows that share an id or have none are told
+    apart by their texts, and no text goes without a near copy that stays.  An empty table gives an empty one.  Columns that
+    can't be hashed (maps) are not supported.
     """
-    found = find(docs, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
-    named = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").dropDuplicates([id_col])
-    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    work = Workspace(docs.sparkSession, "one-of-each")
+    rows, parts = find(docs, id_col, text_col, work)
+    each = rows.groupBy("key", "id").agg(F.count("*").alias("n"))
+    first = each.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n")).alias("first"))
+    stays = first.join(parts, "key").groupBy("part").agg(F.min("first").alias("f")).select(F.col("f.id").alias("sid"), F.col("f.key").alias("skey"), "f.n")
+    stays = work.keep(stays, "stays")
+
+    keyed, names = with_key(docs, docs.columns, text_col, key)
+    own = names[docs.columns.index(id_col)]
+
+    def staying(some: DataFrame) -> DataFrame:
+        some = some.select("sid", "skey")
+        return keyed.join(some, (F.col("key") == F.col("skey")) & F.col(own).eqNullSafe(F.col("sid")), "left_semi")
+
+    kept = staying(stays.where("n = 1")).select(*names)
+    if not stays.where("n > 1").isEmpty():  # repeated rows, or texts with one key under one id
+        least = staying(stays.where("n > 1")).groupBy("key", own).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("r"))
+        kept = kept.unionByName(least.select("r.*"))
+    return kept.toDF(*docs.columns)

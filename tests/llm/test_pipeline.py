@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
-from inkwell.llm import jaccard
+from inkwell.llm import jaccard, simhash
 from inkwell.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -48,7 +51,60 @@ def test_near_copies_equal_brute_force(spark):
     assert 20 < len(set(least)) < 150
     rows = [(k, t, "en", "web", len(t or "")) for k, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
-    for sample in (40_000, 10):
-        assert {r.doc_id: r.component_id for r in jaccard.near_copies(docs, sample=sample).collect()} == dict(enumerate(least))
+    usual = jaccard.LEAF, jaccard.SHARD, jaccard.HUB_PAIRS
+    for leaf, shard, hub in (usual, (2, 8, 3)):
+        jaccard.LEAF, jaccard.SHARD, jaccard.HUB_PAIRS = leaf, shard, hub
+        assert {r.doc_id: r.component_id for r in jaccard.near_copies(docs).collect()} == dict(enumerate(least))
+    jaccard.LEAF, jaccard.SHARD, jaccard.HUB_PAIRS = usual
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()) == sorted(set(least))
     assert jaccard.near_copies(docs.limit(0)).count() == 0
+
+
+def test_trees_give_every_pair_once():
+    rng = np.random.default_rng(3)
+    fp = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
+    fp = np.concatenate([fp ^ np.uint64(1 << k) for k in (0, 5, 9)] + [fp])
+    fp = np.concatenate([fp, fp[:7]])
+    wanted = sorted((i, j) for j in range(len(fp)) for i in range(j) if int(fp[i] ^ fp[j]).bit_count() <= 24)
+    for leaf in (0, 1, 5, 400):
+        assert sorted((min(p), max(p)) for i, j in jaccard.tree_pairs(fp, leaf=leaf) for p in zip(i.tolist(), j.tolist(), strict=True)) == wanted
+
+
+def test_shards_over_batch_ends():
+    rng = random.Random(1)
+    rows = sorted({(rng.randrange(12), rng.randrange(1000)) for _ in range(40)})
+    rows = [r for r in rows for _ in range(rng.choice([1, 1, 3]))]
+    token, key = (np.array([r[k] for r in rows]) for k in (0, 1))
+    zero = np.zeros(len(rows), np.int64)
+    whole = pa.RecordBatch.from_arrays([pa.array(x) for x in (token, key, zero.astype(np.int32) + 9, key, zero)], names=["token", "order", "n", "key", "fp"])
+    groups = {}
+    for t, k in sorted(set(rows)):
+        groups.setdefault(t, []).append(k)
+    wanted = [(t, k, g[0] if k != g[0] else None) for t, g in groups.items() if len(g) > 1 for k in g]
+    for size in (1, 2, 3, 7, 100):
+        cut = [whole.slice(k, size) for k in range(0, len(rows), size)]
+        got = [(r["token"], r["key"], r["root"]) for b in jaccard._shards(iter(cut)) for r in b.to_pylist()]
+        assert sorted(got, key=str) == sorted(wanted, key=str), size
+
+
+def test_no_text_is_lost_with_repeated_or_missing_ids(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, "b " * 9, "x"), (5, "a " * 9, "x"), (5, "b " * 9, "y"), (5, "a " * 9, "x"), (7, long, "x"), (7, long, "y"), (None, long, "z"), (None, "c " * 9, "z"), (None, "C " * 9, "a"), (8, None, None), (9, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, key string").repartition(3)
+    for how in ({}, {"find": jaccard.set_groups, "key": jaccard.set_keys}):
+        kept = [tuple(r) for r in simhash.one_of_each(docs, **how).collect()]
+        assert len(kept) == 5 and {(i, (t or "")[:1].lower()) for i, t, _ in kept} == {(1, "b"), (5, "a"), (7, "o"), (None, "c"), (8, "")}
+        assert sorted(map(str, kept)) == sorted(str(tuple(r)) for r in simhash.one_of_each(docs.repartition(1), **how).collect())
+
+
+def test_stages_on_odd_tables(spark):
+    """Null and repeated ids, null, empty and very long texts, repeated rows, an extra column with a clashing name, and no rows."""
+    words = " ".join(f"w{k}" for k in range(30_000))
+    rows = [(None, "plain words here", "en", "a", 1, 0.5), (1, None, None, None, None, None), (1, "", "en", "a", 0, 1.0), (2, words, "en", "a", 9, 0.1), (2, words, "en", "a", 9, 0.1), (3, "x y z " * 40, "en", "a", 2, 0.2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, score double")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    kept = {(r.doc_id, (r.text or "")[:2]) for r in docs.collect()}
+    assert kept == {(None, "pl"), (1, ""), (2, "w0"), (3, "x ")}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 4 and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
