@@ -51,23 +51,27 @@ def test_near_copies_equal_brute_force(spark):
     assert 20 < len(set(least)) < 150
     rows = [(k, t, "en", "web", len(t or "")) for k, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
-    usual = jaccard.LEAF, jaccard.SHARD, jaccard.HUB_PAIRS
-    for leaf, shard, hub in (usual, (2, 8, 3)):
-        jaccard.LEAF, jaccard.SHARD, jaccard.HUB_PAIRS = leaf, shard, hub
+    usual = jaccard.CLUSTER, jaccard.SHARD, jaccard.HUB_PAIRS
+    for cluster, shard, hub in (usual, (6, 8, 3)):
+        jaccard.CLUSTER, jaccard.SHARD, jaccard.HUB_PAIRS = cluster, shard, hub
         assert {r.doc_id: r.component_id for r in jaccard.near_copies(docs).collect()} == dict(enumerate(least))
-    jaccard.LEAF, jaccard.SHARD, jaccard.HUB_PAIRS = usual
+    jaccard.CLUSTER, jaccard.SHARD, jaccard.HUB_PAIRS = usual
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()) == sorted(set(least))
     assert jaccard.near_copies(docs.limit(0)).count() == 0
 
 
-def test_trees_give_every_pair_once():
+def test_trees_link_every_pair_within_the_radius():
     rng = np.random.default_rng(3)
-    fp = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
-    fp = np.concatenate([fp ^ np.uint64(1 << k) for k in (0, 5, 9)] + [fp])
-    fp = np.concatenate([fp, fp[:7]])
-    wanted = sorted((i, j) for j in range(len(fp)) for i in range(j) if int(fp[i] ^ fp[j]).bit_count() <= 24)
+    fp = rng.integers(0, 1 << 64, 30, dtype=np.uint64)
+    fp = np.concatenate([fp ^ np.uint64((1 << 21) - 1 << k) for k in (0, 5, 30)] + [fp, fp[:7]])
+    near = [(i, j) for j in range(len(fp)) for i in range(j) if int(fp[i] ^ fp[j]).bit_count() <= jaccard.RADIUS]
+    wanted = simhash.Links()
+    for i, j in near:
+        wanted.add(i, j)
     for leaf in (0, 1, 5, 400):
-        assert sorted((min(p), max(p)) for i, j in jaccard.tree_pairs(fp, leaf=leaf) for p in zip(i.tolist(), j.tolist(), strict=True)) == wanted
+        links = simhash.Links()
+        jaccard.link_tree(fp, np.full(len(fp), 10), np.arange(len(fp)), links, leaf)
+        assert [links.root(k) for k in range(len(fp))] == [wanted.root(k) for k in range(len(fp))]
 
 
 def test_shards_over_batch_ends():
