@@ -29,8 +29,10 @@ GRAM = 8
 HASHES = Hasher(0x5EED)
 BUCKETS = 64
 """Buckets of an index's runs; for a corpus of 100 TB, tens of thousands."""
-FAN_IN = 4
+FAN_IN = 2
 """So many runs of one level are merged into one of the next."""
+MET = 1 << 20
+"""Windows that a task remembers at most before it starts afresh; that only makes it send some windows again."""
 
 
 def anchors(w: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,6 +180,8 @@ def _window_rows(window: int, gram: int):
                 ids = b.column(0).slice(chunk.first, chunk.last - chunk.first).to_pylist()
                 same = np.array([k for k in range(len(ids)) if not k or ids[k] != ids[k - 1]])  # rows of one id are neighbours
                 doc = np.searchsorted(same, row, side="right")
+                if len(met) > MET:
+                    met.clear()
                 order = np.lexsort((start, doc, h, fp))
                 lead = np.concatenate(([True], (fp[order][1:] != fp[order][:-1]) | (h[order][1:] != h[order][:-1])))
                 top = order[np.flatnonzero(lead)][np.cumsum(lead) - 1]  # the smallest (id, start) of each window
@@ -296,7 +300,7 @@ def remove_repeats(docs: DataFrame, carry: list[str], id_col: str = "doc_id", te
     near = near.select("id", "text", "fps", *(n for _, n in others)).sortWithinPartitions("id")
     seen = near.mapInArrow(_window_rows(window, gram), WINDOW_SCHEMA.format(id=id_type))
     least = F.min(F.struct("id", "first")).over(W.partitionBy("fp", "digest"))
-    again = seen.repartition("fp").withColumn("least", least).where(F.col("sure") | (F.struct("id", "first") != F.col("least")))
+    again = seen.repartition("fp", "digest").withColumn("least", least).where(F.col("sure") | (F.struct("id", "first") != F.col("least")))
     ranges = again.select("id", "first", "last").mapInArrow(_merge_ranges, f"id {id_type}, first int, last int")
     ranges = ranges.groupBy(F.col("id").alias("rid")).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     joined = all_.join(ranges, F.col("id").eqNullSafe(F.col("rid")), "left").select(*names, "text", "ranges")
