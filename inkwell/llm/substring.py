@@ -82,16 +82,17 @@ class FingerprintIndex:
         self.runs: list[tuple[int, str]] = []
         self.repeats: list[DataFrame] = []
 
-    def _write(self, rows: DataFrame, level: int) -> str:
+    def _write(self, rows: DataFrame) -> str:
+        """Store a run.  Rows are dealt by bucket, so that each bucket is one file, written by one task."""
         name = f"inkwell_run_{uuid.uuid4().hex}"
-        dealt = rows.repartition(self.buckets, "fp") if level == 0 else rows
+        dealt = rows.repartition(self.buckets, F.pmod(F.hash("fp"), F.lit(self.buckets)))
         dealt.write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").option("path", f"{self.work.path}/{name}").saveAsTable(name)
         return name
 
     def add(self, batch: DataFrame) -> None:
         """Append a batch of (id, text): write its run, note the hashes that repeat in it or in older runs, and compact."""
         rows = batch.mapInArrow(_anchor_rows, f"fp bigint, id {batch.schema['id'].dataType.simpleString()}, n tinyint")
-        name = self._write(rows, 0)
+        name = self._write(rows)
         new = self.spark.table(name)
         found = new.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp")
         for _, old in self.runs:
@@ -106,7 +107,7 @@ class FingerprintIndex:
             merged = None
             for _, name in same:
                 merged = self.spark.table(name) if merged is None else merged.unionByName(self.spark.table(name))
-            name = self._write(merged.repartition(self.buckets, "fp"), level + 1)
+            name = self._write(merged)
             self.runs = [r for r in self.runs if r[0] != level] + [(level + 1, name)]
             for _, old in same:
                 self._forget(old)
