@@ -1,7 +1,7 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark items, scanning each text once.
 
 Normalised text is lower-cased words (letters, digits and non-ASCII characters) with one space around each.  An item's windows
-are its runs of ``window`` consecutive words, or the whole item if it is shorter.
+are its runs of ``window`` consecutive words, or the whole item if it is shorter.  Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -17,61 +17,132 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import Workspace, carried, once_per_worker, row_of
-from .wordscan import ALNUM_WORDS, Chunk, chunks, words
+from .wordscan import ALNUM_WORDS, Chunk, Hasher, chunks, words
 
 WINDOW = 10
-AUTOMATON_BYTES = 16 << 20
-"""Benchmark text in one automaton at most.  A larger benchmark is dealt into several, each a further pass over the texts."""
-
-
-def windows(texts: pa.Array, size: int = WINDOW) -> list[list[str]]:
-    """The normalised windows of each text, each with one space around every word; UTF-8 bytes are shown as Latin-1."""
-    out: list[list[str]] = []
-    for chunk in chunks(texts):
-        w = words(chunk, ALNUM_WORDS)
-        text = w.data.tobytes().decode("latin-1")
-        for lo, hi in zip(w.rows[:-1].tolist(), w.rows[1:].tolist(), strict=True):
-            n = min(size, hi - lo)
-            out.append([f" {text[w.starts[k] : w.ends[k + n - 1]]} " for k in range(lo, hi - n + 1)] if n else [])
-    return out
+AUTOMATON_WORDS = 500_000
+"""Benchmark words in one automaton at most, which then takes about 100 MB.  A larger benchmark is dealt into several, each a further
+pass over the texts."""
+HASHES = Hasher(0xBE4C)
+DIGITS = 64
+"""A word's number is written in so many different characters, with other ones for each place, so that matches are whole words."""
+SEEDS = 1 << 14
+"""Seeds that are extended at once."""
 
 
 class Matcher:
-    """An automaton whose matches tell a window's length in words and the items that have it."""
+    """One automaton over benchmark items whose words are numbered.
+
+    Its patterns are the items' aligned blocks of ``size // 2`` words, and whole items of fewer than ``size``.  Each window of
+    ``size`` words holds such a block, so every window is found where a block is: the match is extended on either side, word by
+    word, and counts if it reaches ``size`` words.  Blocks take a tenth of the memory of all windows.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
-        owners: dict[str, set[str]] = {}
-        for (item, _), found in zip(items, windows(pa.array([t for _, t in items], pa.string()), size), strict=True):
-            for w in found:
-                owners.setdefault(w, set()).add(item)
-        self.owners = [sorted(x) for x in owners.values()]
-        self.lengths = np.array([w.count(" ") - 1 for w in owners], np.int64)
+        self.size, self.block = size, size // 2
+        self.names = sorted({i for i, _ in items})
+        code = {i: k for k, i in enumerate(self.names)}
+        hashes, rows, owner = [np.zeros(0, np.uint64)], [0], []
+        for c in chunks(pa.array([t for _, t in items], pa.large_string())):
+            w = words(c, ALNUM_WORDS)
+            hashes.append(HASHES.words(w.data, w.starts, w.ends))
+            rows += (w.rows[1:] + rows[-1]).tolist()
+            owner += [code[items[k][0]] for k in range(c.first, c.last)]
+        flat = np.concatenate(hashes)
+        self.known = np.unique(flat)
+        self.places = 1
+        while DIGITS**self.places <= len(self.known):
+            self.places += 1
+        # items end to end, with unknown words on either side of each, which match nothing
+        gap = size
+        pad = np.arange(len(owner)) * gap + gap
+        rows = np.array(rows, np.int64)
+        n = np.diff(rows)
+        self.item = np.full(len(flat) + gap * (len(owner) + 1), -1, np.int64)
+        self.owner = np.full(len(self.item), -1, np.int64)
+        at = np.arange(len(flat)) + np.repeat(pad, n)
+        self.item[at], self.owner[at] = np.searchsorted(self.known, flat), np.repeat(np.array(owner, np.int64), n)
+        first = rows[:-1] + pad
+        patterns: dict[str, list[tuple[int, int]]] = {}
+        for start, count in zip(first.tolist(), n.tolist(), strict=True):
+            if 0 < count < size:
+                blocks = [(start, count)]
+            else:
+                blocks = [(k, self.block) for k in range(start, start + count - self.block + 1, self.block)]
+            for k, length in blocks:
+                patterns.setdefault(self._written(self.item[k : k + length]), []).append((k, length if count < size else 0))
         self.automaton = ahocorasick.Automaton()
-        for k, w in enumerate(owners):
-            self.automaton.add_word(w, k)
-        if owners:
+        self.found: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for k, (text, where) in enumerate(patterns.items()):
+            self.automaton.add_word(text, k)
+            self.found.append((len(text) // self.places, *np.array(where, np.int64).T))
+        if patterns:
             self.automaton.make_automaton()
 
+    def _written(self, numbers: np.ndarray) -> str:
+        """Numbers as text, each of ``places`` characters; -1 is blank."""
+        out = np.full((len(numbers), self.places), 32, np.uint32)
+        good = numbers >= 0
+        for p in range(self.places):
+            out[good, p] = numbers[good] // DIGITS**p % DIGITS + 256 + DIGITS * p
+        return out.tobytes().decode("utf-32-le")
+
     def scan(self, chunk: Chunk) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
         """For each row of the chunk: its number of words, the word ranges hit (merged, in order) and the items found."""
         w = words(chunk, ALNUM_WORDS)
-        text = w.data.tobytes().decode("latin-1")
-        search = self.automaton.iter if self.owners else lambda _: ()
-        for i, (lo, hi) in enumerate(zip(w.rows[:-1].tolist(), w.rows[1:].tolist(), strict=True)):
-            found = list(search(" " + text[w.bytes_[i] : w.bytes_[i + 1]])) if hi > lo else ()
-            if not found:
-                yield hi - lo, [], set()
+        n = np.diff(w.rows)
+        if not self.found or not len(w.starts):
+            yield from ((k, [], set()) for k in n.tolist())
+            return
+        hashes = HASHES.words(w.data, w.starts, w.ends)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        number = np.where(self.known[at] == hashes, at, -1)
+        # rows end to end with gaps of blanks, so that no match runs from one into the next
+        gap = self.size
+        shift = np.repeat(np.arange(len(n)) * gap + gap, n)
+        text = np.full(len(number) + gap * (len(n) + 1), -1, np.int64)
+        text[np.arange(len(number)) + shift] = number
+        matches = [(end, k) for end, k in self.automaton.iter(self._written(text))]
+        cover, owners = np.zeros(len(text) + 1, np.int64), {}
+        row_at = w.rows[:-1] + np.arange(len(n)) * gap + gap
+        for lo in range(0, len(matches), SEEDS):
+            part = matches[lo : lo + SEEDS]
+            count = np.array([len(self.found[k][1]) for _, k in part])
+            for some in np.array_split(np.arange(len(part)), max(1, -(-int(count.sum()) // (SEEDS * 16)))):
+                if len(some):
+                    self._extend([part[k] for k in some.tolist()], text, row_at, cover, owners)
+        hit = np.cumsum(cover[:-1]) > 0
+        for r in range(len(n)):
+            if r not in owners:
+                yield int(n[r]), [], set()
                 continue
-            at, which = np.array(found, np.int64).T
-            last = np.searchsorted(w.ends[lo:hi], at - 1 + w.bytes_[i])  # a match ends at the space after its last word
-            change = np.zeros(hi - lo + 1, np.int64)
-            np.add.at(change, last - self.lengths[which] + 1, 1)
-            np.add.at(change, last + 1, -1)
-            edge = np.flatnonzero(np.diff((np.cumsum(change) > 0).astype(np.int8), prepend=0))
-            if len(edge) % 2:
-                edge = np.append(edge, hi - lo)
-            items = set().union(*(self.owners[k] for k in np.unique(which).tolist()))
-            yield hi - lo, list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)), items
+            own = hit[row_at[r] : row_at[r] + n[r]]
+            edge = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0))
+            yield int(n[r]), list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)), {self.names[k] for k in owners[r]}
+
+    def _extend(self, seeds: list[tuple[int, int]], text: np.ndarray, row_at: np.ndarray, cover: np.ndarray, owners: dict[int, set[int]]) -> None:
+        """Extend matches (end in characters, pattern) on both sides; note the words of those that are long enough, and their items."""
+        size, reach = self.size, self.size - self.block
+        length = np.concatenate([np.full(len(self.found[k][1]), self.found[k][0]) for _, k in seeds])
+        place = np.concatenate([self.found[k][1] for _, k in seeds])
+        whole = np.concatenate([self.found[k][2] for _, k in seeds]) > 0
+        end = np.repeat(np.array([e // self.places + 1 for e, _ in seeds]), [len(self.found[k][1]) for _, k in seeds])
+        start = end - length
+        left, right, on_left, on_right = (np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), ~whole, ~whole)
+        for k in range(1, reach + 1):
+            a = text[start - k]
+            on_left = on_left & (a >= 0) & (a == self.item[place - k])
+            left += on_left
+            b = text[end + k - 1]
+            on_right = on_right & (b >= 0) & (b == self.item[place + length + k - 1])
+            right += on_right
+        good = whole | (left + length + right >= size)
+        first, last = (start - left)[good], (end + right)[good]
+        np.add.at(cover, first, 1)
+        np.add.at(cover, last, -1)
+        row = np.searchsorted(row_at, first, side="right") - 1
+        for r, k in np.unique(np.column_stack([row, self.owner[place[good]]]), axis=0).tolist():
+            owners.setdefault(r, set()).add(k)
 
 
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -126,7 +197,7 @@ def character_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int,
     return [(int(points[w.source_starts[a]]), int(points[w.source_ends[z - 1]])) for a, z in spans]
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, carry: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, limit: int = AUTOMATON_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, carry: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, limit: int = AUTOMATON_WORDS) -> DataFrame:
     """One row for each row of ``docs``: row (a struct of the columns ``carry``), n_words, spans (word ranges [first, last) hit)
     and items (those with windows in the text: ids as strings, sorted).
 
@@ -134,11 +205,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, carry: list[str], text
     item with a null id none either.  Repeated items count once under their id; repeated documents give repeated rows.  An empty
     benchmark hits nothing; empty documents give an empty table.  ``character_spans`` maps word ranges to the original text.
 
-    The benchmark's size is measured first.  Up to ``limit`` bytes of it go to the tasks in one automaton; a larger one is dealt
+    The benchmark's size is measured first.  Up to ``limit`` words of it go to the tasks in one automaton; a larger one is dealt
     into automata of about that size by a hash of the item, each a pass over the texts, with results written in between.
     """
     named = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
-    total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = named.agg(F.sum(F.size(F.split("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))).first()[0] or 0
     parts = max(1, -(-total // limit))
     rows, names, text_at = carried(docs, carry, text_col)
     fields = list(rows.schema)

@@ -1,8 +1,11 @@
 """Each operator against a brute-force version on small tables with nulls, empty texts, repeated rows and odd characters."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -168,7 +171,7 @@ def test_substrings(docs, empty, batches):
 # --- 10 ---------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 400])
+@pytest.mark.parametrize("limit", [1 << 20, 60])
 def test_decontamination(spark, docs, empty, limit):
     items = [(1, PASSAGE), (2, "  ALPHA, beta! "), (3, None), (10, ""), (None, "the of"), (4, text(25)), (4, text(12)), (5, "—é naïve")]
     table = spark.createDataFrame(items, "item_id bigint, text string")
@@ -193,11 +196,39 @@ def test_decontamination(spark, docs, empty, limit):
                     owners |= own
         assert (r.n_words, {x for s in r.spans for x in range(s["first"], s["last"])}, r["items"]) == (len(w), hit, sorted(owners))
     assert decontamination.character_spans("é, Two three", [(1, 3)]) == [(3, 12)]
-    if limit > 400:
+    if limit > 60:
         assert decontamination.find_contamination(empty, table, ["doc_id"]).count() == 0
         assert not any(r.spans for r in decontamination.find_contamination(docs, table.limit(0), ["doc_id"]).collect())
 
 
+def test_a_large_benchmark_takes_little_memory():
+    """4 MB of random words, dealt as ``find_contamination`` does, with each automaton under 250 MB; every planted window is found."""
+    code = """
+import random, resource, sys
+import pyarrow as pa
+sys.path.insert(0, sys.argv[1])
+from inkwell.llm import decontamination as d
+from inkwell.llm.wordscan import chunks
+rng = random.Random(1)
+items = [(str(k), " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(70))) for k in range(8000)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+part = items[: d.AUTOMATON_WORDS // 70]
+m = d.Matcher(part)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+texts = []
+for i, t in part[:200]:
+    w = t.split()
+    at, n = rng.randrange(55), rng.choice([9, 10, 13])
+    texts.append("the of " + " ".join(w[at : at + n]) + " and")
+got = [r for c in chunks(pa.array(texts)) for r in m.scan(c)]
+assert all((r[1], r[2]) == (([(2, n - 1)], {part[k][0]}) if n - 3 >= 10 else ([], set())) for k, r in enumerate(got) for n in [len(texts[k].split())])
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code, root], capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 250
+
+
 # --- 4, 3 -------------------------------------------------------------------------------------------------------------
 
 
