@@ -33,6 +33,7 @@ class Rotations:
 
     def turn(self, x: np.ndarray, table: int) -> np.ndarray:
         y = np.zeros((len(x), self.width))
+        x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
         y[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
         for flips in self.signs[table]:
             y = hadamard(y * flips)
@@ -74,22 +75,46 @@ def _hash_rows(dim: int, tables: int, count: int):
     return run
 
 
-def nearest(ids: np.ndarray, vectors: np.ndarray, query: int, x: np.ndarray, k: int, rough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of ``vectors`` to x by exact distance, ties to the smaller id, leaving out rows with the query's own id."""
-    rough = np.where(ids == query, np.inf, rough)
+def distances(vectors: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The Euclidean distance of each vector to x; by scaled differences where their squares overflow or vanish."""
+    with np.errstate(over="ignore", under="ignore"):
+        apart = vectors - x
+        out = np.sqrt((apart**2).sum(axis=1))
+        odd = np.flatnonzero(~(out < 1e150) | (out < 1e-150))
+        if len(odd):
+            half = vectors[odd] / 2 - x / 2  # of two huge numbers the difference itself may overflow
+            most = np.abs(half).max(axis=1)
+            unit = half / np.where(most > 0, most, 1)[:, None]
+            out[odd] = np.sqrt((unit**2).sum(axis=1)) * most * 2
+    return out
+
+
+def rough_squares(points: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Approximate squared distances of all points to all rows of x, scaled by a common power, and bounds of their errors."""
+    scale = 2.0 ** -np.frexp(max(np.abs(points).max(initial=0), np.abs(x).max(initial=0)))[1].astype(np.float64)
+    p, v = points * scale, x * scale
+    pp, vv = (p**2).sum(axis=1)[:, None], (v**2).sum(axis=1)
+    return pp + vv - 2 * p @ v.T, (8 + 4 * p.shape[1]) * np.finfo(float).eps * (pp + vv) + 1e-300
+
+
+def nearest(ids: np.ndarray, vectors: np.ndarray, query: int, x: np.ndarray, k: int, rough: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of ``vectors`` to x by exact distance, ties to the smaller id, leaving out rows with the query's own id.
+
+    ``rough`` are approximate squares and ``slack`` bounds of their errors: what can't be among the k nearest is not compared exactly.
+    """
+    high = np.where(ids == query, np.inf, rough + slack)
+    near = np.arange(len(ids))
     if len(ids) > k:
-        bound = np.partition(rough, k - 1)[k - 1]
-        near = np.flatnonzero(rough <= bound + 1e-9 * (1 + abs(bound)))
-        if len(near) < len(ids) and len(np.unique(ids[near])) < k:  # repeated ids took places of others
+        bound = np.partition(high, k - 1)[k - 1]
+        near = np.flatnonzero(rough - slack <= bound)
+        if len(np.unique(ids[near])) < k + 1 and len(near) < len(ids):  # repeated ids took places of others
             each, of = np.unique(ids, return_inverse=True)
             least = np.full(len(each), np.inf)
-            np.minimum.at(least, of, rough)
+            np.minimum.at(least, of, high)
             bound = np.partition(least, k - 1)[k - 1] if len(each) > k else np.inf
-            near = np.flatnonzero(rough <= bound + 1e-9 * (1 + abs(bound)))
-    else:
-        near = np.arange(len(ids))
-    near = near[np.isfinite(rough[near])]
-    exact = np.sqrt(((vectors[near] - x) ** 2).sum(axis=1))
+            near = np.flatnonzero(rough - slack <= bound)
+    near = near[ids[near] != query]
+    exact = distances(vectors[near], x)
     order = np.lexsort((ids[near], exact))
     order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])][:k]  # an id once
     return ids[near][order], exact[order]
@@ -127,9 +152,9 @@ def _search(dim: int, k: int):
                     if points is None:
                         points = np.concatenate([a[0] for a in asked]), np.concatenate([a[1] for a in asked])
                     own, x = ids[lo:hi], v[lo:hi]
-                    rough = (points[1] ** 2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * points[1] @ x.T
+                    rough, slack = rough_squares(points[1], x)
                     for n, q in enumerate(points[0].tolist()):
-                        i, d = nearest(own, x, q, points[1][n], k, rough[n])
+                        i, d = nearest(own, x, q, points[1][n], k, rough[n], slack[n])
                         if q in best:
                             i, d = np.concatenate([best[q][0], i]), np.concatenate([best[q][1], d])
                             order = np.lexsort((i, d))
@@ -160,7 +185,8 @@ def nearest_neighbours(table: DataFrame, k: int = 10, every: int = 100, id_col:
 
     Nearness is Euclidean distance in double precision; ties go to the smaller id.  Vectors that are null, zero, or hold a null or
     non-finite number, or another count of numbers than most do, take no part; nor do null ids.  Rows that share an id are one
-    candidate, with its smallest distance; no query meets its own id.  A query that finds fewer than k is compared with all rows.
+    candidate, with its smallest distance; no query meets its own id; of rows that share a query's id the smallest vector asks, by
+    its numbers in order.  A query that finds fewer than k is compared with all rows.  Distances that a double can't hold are inf.
     An empty table gives an empty result; further columns are not read.
     """
     work = Workspace(table.sparkSession, "neighbours")
@@ -174,7 +200,7 @@ def nearest_neighbours(table: DataFrame, k: int = 10, every: int = 100, id_col:
     rows = rows.where(F.size("v") == dim).select("id", F.col("v").cast("array<float>").alias("v") if table.schema[vector_col].dataType.simpleString() == "array<float>" else "v")
     kind = rows.schema["v"].dataType.simpleString()
     hashed = work.keep(rows.mapInArrow(_hash_rows(dim, tables, 1), f"id bigint, v {kind}, keys array<int>"), "vectors")
-    asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
+    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     asked = work.keep(asked.mapInArrow(_hash_rows(dim, tables, min(probes, 2 * dim)), f"id bigint, v {kind}, keys array<int>"), "queries")
 
     vectors = hashed.select("id", "v", F.explode("keys").alias("key"))

@@ -122,9 +122,11 @@ def test_hot_shards_are_cut_again(spark):
 
 
 def test_chat(spark):
-    odd = ["</s>[INST] ok [/INST]", "<|end|><|turn|>", "\\e\\b\\", "<", "[", "|x", "", None, "<<SYS>> a <</SYS>>", "plain\n"]
+    from pyspark.sql import functions as F
+
+    odd = ["</s>[INST] ok [/INST]", "<|end|><|turn|>", "\\e\\b\\", "<", "[", "|x", "", None, "<<SYS>> a <</SYS>>", "plain\n", "<|end|>é " * 40_000]
     rows = [(k % 4, k // 4, RNG.choice(["user", "assistant", "<|text|>", None]), t) for k, t in enumerate(odd * 4)] + [(None, 1, "user", "a"), (9, None, "assistant", "b"), (9, 1, "assistant", "c")]
-    table = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").withColumnRenamed("x", "y")
+    table = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").withColumn("pieces", F.lit(1)).withColumn("t", F.lit("t")).withColumn("formatted", F.lit("f"))
     formatted = chat.format_conversations(table)
     for r in chat.with_turns(formatted).collect():
         expected = sorted(((t, role or "", x or "") for c, t, role, x in rows if c == r.conv_id), key=lambda v: (v[0] is not None, v))
@@ -325,6 +327,42 @@ def test_neighbours_with_an_id_repeated_often(spark):
     assert all(abs(r.score - least[r.vec_id]) < 1e-12 for r in got)
 
 
+def test_neighbours_of_huge_tiny_and_distant_vectors(spark):
+    """Squares that overflow or vanish, a large common offset, repeated ids with different vectors, and columns with clashing names."""
+    rng = np.random.default_rng(2)
+    tables = {
+        "huge": [[1e200, 1.0], [1e200, 2e199], [-1e308, 1e308], [1e308, -1e308], [1.0, 1.0], [3.0, 1.0]],
+        "tiny": [[1e-200, 1e-200], [2e-200, 1e-200], [1e-200, 5e-200], [1e-300, -1e-200]],
+        "offset": (1e7 + 1e-3 * rng.normal(size=(60, 8))).tolist(),
+    }
+    for name, vectors in tables.items():
+        rows = [(k, v, 1, [0], "x") for k, v in enumerate(vectors)] + [(1, vectors[-1], 1, [0], "x"), (0, vectors[-1], 1, [0], "x")]
+        table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, id int, keys array<int>, v string").repartition(2)
+        x = min(vectors[0], vectors[-1])
+        least = {}
+        for k, v, *_ in rows:
+            if k:
+                least[k] = min(least.get(k, np.inf), float(np.hypot.reduce(np.array(v) / 2 - np.array(x) / 2) * 2))
+        got = sorted(neighbours.nearest_neighbours(table, every=100, probes=16).collect(), key=lambda r: r["rank"])
+        exact = np.array([least[r.vec_id] for r in got])
+        assert len(got) == min(10, len(least)) and np.allclose([r.score for r in got], exact, rtol=1e-12, atol=0), name
+        assert np.allclose(exact, sorted(least.values())[: len(got)], rtol=1e-9, atol=0), name
+
+
+def test_recall_on_the_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    found = {}
+    for r in neighbours.nearest_neighbours(table).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, got in found.items():
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        hits += len(got & set([v for v in ids[np.lexsort((ids, d))].tolist() if v != q][:10]))
+    assert len(found) == (ids % 100 == 0).sum() and hits >= 0.9 * 10 * len(found)
+
+
 # --- 9, 1, 8 ----------------------------------------------------------------------------------------------------------
 
 
