@@ -79,10 +79,11 @@ def stem_words(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def with_terms(rows: DataFrame, surface: str = "surface", stemmed: bool = True) -> DataFrame:
-    """Add ``term``.  Each distinct word is stemmed once and joined back."""
+    """Add ``term``.  Each distinct word is stemmed once and joined back; the words are dealt evenly, however few bytes they are."""
     if not stemmed:
         return rows.withColumn("term", F.col(surface))
-    stems = rows.select(surface).distinct().withColumn("term", stem_words(surface))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stems = rows.select(surface).distinct().repartition(parts).withColumn("term", stem_words(surface))
     return rows.join(stems, surface)
 
 

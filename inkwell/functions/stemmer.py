@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 VOWELS = "aeiouy"
 DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
@@ -21,14 +20,20 @@ STEP_2 = {
     "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "fulli": "ful", "lessli": "less", "ogi": "og", "li": "",
 }
 STEP_3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
-STEP_4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion"]
+STEP_4 = {"al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion"}
+
+
+AFTER_VOWEL = re.compile("[aeiouy][^aeiouy]")
+SHORT_END = re.compile(r"(^[aeiouy][^aeiouy]$)|([^aeiouy][aeiouy][^aeiouywxY]$)")
+CONSONANT_Y = re.compile(r"(^|[aeiouy])y")
+IDENTIFIER = re.compile(r"[0-9.+#\-]")
 
 
 def _regions(word: str) -> tuple[int, int]:
     """Where R1 and R2 begin: after the first consonant that follows a vowel, and the same within R1."""
 
     def after(start: int) -> int:
-        m = re.compile("[aeiouy][^aeiouy]").search(word, start)
+        m = AFTER_VOWEL.search(word, start)
         return m.end() if m else len(word)
 
     r1 = next((len(p) for p in ("gener", "commun", "arsen") if word.startswith(p)), None)
@@ -37,11 +42,15 @@ def _regions(word: str) -> tuple[int, int]:
 
 
 def _ends_short(word: str) -> bool:
-    return bool(re.search(r"(^[aeiouy][^aeiouy]$)|([^aeiouy][aeiouy][^aeiouywxY]$)", word))
+    return SHORT_END.search(word) is not None
 
 
 def _longest(word: str, suffixes) -> str | None:
-    return max((s for s in suffixes if word.endswith(s)), key=len, default=None)
+    """The longest of ``suffixes``, which have up to seven letters, that the word ends with."""
+    for n in range(min(7, len(word)), 0, -1):
+        if word[-n:] in suffixes:
+            return word[-n:]
+    return None
 
 
 def _step_1(word: str, r1: int) -> str:
@@ -104,7 +113,6 @@ def _step_5(word: str, r1: int, r2: int) -> str:
     return word
 
 
-@lru_cache(maxsize=1 << 16)
 def porter2(word: str) -> str:
     """The stem of a lower-case English word."""
     if len(word) <= 2:
@@ -112,7 +120,7 @@ def porter2(word: str) -> str:
     word = word.removeprefix("'")
     if word in SPECIAL:
         return SPECIAL[word]
-    word = re.sub(r"(^|[aeiouy])y", lambda m: m[1] + "Y", word)
+    word = CONSONANT_Y.sub(r"\1Y", word) if "y" in word else word
     r1, r2 = _regions(word)
     word = _step_1(word, r1)
     if word not in AFTER_1A:
@@ -123,4 +131,4 @@ def porter2(word: str) -> str:
 def stem(word: str) -> str:
     """The index term of a word: what comes before an apostrophe, stemmed unless it looks like an identifier."""
     head = word.replace("’", "'").split("'")[0] or word
-    return head if re.search(r"[0-9.+#\-]", head) else porter2(head)
+    return head if IDENTIFIER.search(head) else porter2(head)

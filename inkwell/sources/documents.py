@@ -19,10 +19,31 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("documents IS NULL").drop("documents").unionByName(inner)
 
 
+def indexed(docs: DataFrame) -> DataFrame:
+    """Add ``index``, the place of each row in the order they are read, from 0.  Rows are counted by partition, so none are moved."""
+    rows = docs.withColumn("index", F.monotonically_increasing_id())
+    part, place = F.shiftright("index", 33), F.col("index").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r.part: r.n for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # a row for each partition
+    if len(counts) < 2:
+        return rows.withColumn("index", place)
+    starts, before = [], 0
+    for k in sorted(counts):
+        starts += [F.lit(k), F.lit(before)]
+        before += counts[k]
+    return rows.withColumn("index", F.create_map(*starts)[part] + place)
+
+
 def numbered(docs: DataFrame, first: int = 1) -> DataFrame:
-    """Give documents without ids a doc_id and seq in the order they are read, and now as creation time."""
-    rows = docs.withColumn("at", F.monotonically_increasing_id())
-    return rows.select((F.col("at") + first).alias("doc_id"), (F.col("at") + first).alias("seq"), "title", "body", "url", "tags", F.current_timestamp().alias("created_at"))
+    """Documents with ``index`` and all columns of a stored one: where missing or null, doc_id is ``first`` and the index, seq the
+    doc_id, and created_at now."""
+    has = set(docs.columns)
+
+    def given(name: str, other: Column) -> Column:
+        return (F.coalesce(F.col(name), other) if name in has else other).alias(name)
+
+    rows = docs.withColumn("doc_id", given("doc_id", F.col("index") + first).cast("long"))
+    more = [F.col(c) if c in has else F.lit(None).cast(t).alias(c) for c, t in (("body", "string"), ("url", "string"), ("tags", "array<string>"))]
+    return rows.select("index", "doc_id", given("seq", F.col("doc_id")).cast("long").alias("seq"), "title", *more, given("created_at", F.current_timestamp()))
 
 
 def problem() -> Column:

@@ -1,8 +1,12 @@
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 
 from inkwell.engine import Engine, NotFound
+from inkwell.functions import shown
 from inkwell.operators.index import build_index, change_index
 from inkwell.operators.keywords import keywords
 from inkwell.operators.snippets import segments
@@ -158,3 +162,77 @@ def test_streaming(spark, tmp_path):
     assert e.search("bulk content")["total"] == 5
     rows = spark.createDataFrame([("A  b", 3), ("a b", 2), ("", 1)], "query string, total bigint").selectExpr("*", "timestamp'2024-01-01 00:05:00' AS at")
     assert [(r["query"], r["count"], r.most) for r in search_counts(rows).collect()] == [("a b", 2, 3)]
+
+
+def test_an_index_is_opened_again(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    one = Engine(spark, path)
+    rows = spark.createDataFrame([(k, f"Doc {k}", "alpha beta", None, ["T"]) for k in range(5)], "doc_id bigint, title string, body string, url string, tags array<string>")
+    key = one.add(rows)
+    one.search("alpha")
+    one.update(3, body="gamma")
+    two = Engine.open(spark, path)
+    assert two.search("gamma")["total"] == 1 and two.list_documents()["total"] == 5 and two.job(key).document_ids == list(range(5))
+    assert two.stats()["popular_queries"] == [{"query": "alpha", "count": 1}, {"query": "gamma", "count": 1}]
+    for k in range(3):
+        two.update(k, title=f"New {k}")
+    assert len(two.store.versions()) == 2 and two.store.names("staging") == []
+    two.reset()
+    assert Engine(spark, path).list_documents()["total"] == 0 and two.store.names() == []
+    with pytest.raises(NotFound):
+        Engine.open(spark, path)
+
+
+def test_ids_that_exist_or_come_twice(spark):
+    e, schema = Engine(spark), "doc_id bigint, title string, body string"
+    e.add(spark.createDataFrame([(1, "One", "first")], schema))
+    job = e.job(e.add(spark.createDataFrame([(1, "Again", "x"), (2, "Two", "x"), (2, "Three", "x"), (None, "Four", "x"), (5, " ", "x")], schema).coalesce(1)))
+    assert (job.total, job.failed) == (5, 3)
+    assert [(r["index"], r["error"]) for r in job.errors] == [(0, "id exists"), (2, "id comes twice"), (4, "title must not be blank")]
+    assert job.document_ids == [2, 9] and e.get(1)["title"] == "One" and e.stats()["documents"] == 3
+
+
+def test_a_job_tells_of_every_document(spark):
+    e = Engine(spark, stemmed=False)
+    rows = spark.range(1400).selectExpr("if(id % 2 = 0, concat('Doc ', id), ' ') AS title", "'x' AS body").repartition(5)
+    job = e.job(e.add(rows))
+    assert len(job.document_ids) == len(job.errors) == 700 and {r["index"] for r in job.errors} < set(range(1400))
+
+
+def test_streams_lose_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    e = Engine(spark, f"file://{tmp_path}/index", stemmed=False)
+
+    def deliver(name, rows):
+        (tmp_path / "in" / name).write_text("\n".join(map(json.dumps, rows)))
+        ingest(e, spark, str(tmp_path / "in"), str(tmp_path / "state")).awaitTermination()
+
+    deliver("1.json", [{"doc_id": 1, "title": "Kept"}, {"title": "No id"}, {"title": "No id"}, {"title": "Another"}])
+    assert e.stats()["documents"] == 4
+    deliver("2.json", [{"doc_id": 1, "title": " "}, {"doc_id": 2, "title": "Old"}, {"doc_id": 2, "title": "New"}, {"title": "Later"}])
+    assert e.get(1)["title"] == "Kept" and e.get(2)["title"] == "New" and e.stats()["documents"] == 6
+    assert sorted(r["error"] for r in e.job("batch1").errors) == ["id comes twice", "title must not be blank"]
+
+
+def test_workers_need_no_package(tmp_path):
+    """All queries that run Python on workers, from a folder that doesn't hold the package."""
+    code = """
+import os, sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+from inkwell.queries import QUERIES
+for name in ("stem_terms", "snippets", "parse_query_batch"):
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").collect(), name
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-2000:]
+
+
+def test_shown_values():
+    assert [shown.pager(*x) for x in ((1, 1), (1, 3), (5, 9), (9, 9), (1, 9))] == [[], [1, 2, 3], [3, 4, 5, 6, 7], [5, 6, 7, 8, 9], [1, 2, 3, 4, 5]]
+    assert shown.with_selected([{"tag": "a", "count": 2}], ["b", "a"]) == [{"tag": "a", "count": 2}, {"tag": "b", "count": 0}]
+    assert (shown.percent(0.625), shown.short_url("https://a.b/c"), shown.short_url(None), shown.counted(1, "result"), shown.counted(0, "result")) == (63, "a.b/c", None, "1 result", "0 results")
+    assert shown.Settings.read({"INKWELL_SEED": "Yes", "INKWELL_ORIGINS": "a, ,b"}) == shown.Settings(None, True, None, ["a", "b"])
