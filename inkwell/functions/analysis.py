@@ -54,7 +54,7 @@ def folded(text: Column) -> Column:
 
 def stripped(text: Column) -> Column:
     """Without white space at either end; null counts as empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
 
 
 def raw_words(text: Column) -> Column:
@@ -63,12 +63,12 @@ def raw_words(text: Column) -> Column:
 
 
 def is_stop_word(word: Column) -> Column:
-    return F.replace(word, F.lit("’"), F.lit("'")).isin(*sorted(STOP_WORDS))
+    return word.isin(*sorted(STOP_WORDS | {w.replace("'", "’") for w in STOP_WORDS}))
 
 
 def is_indexed(word: Column) -> Column:
     """Words that get into the index: no stop words, and single characters only if digits."""
-    return ~is_stop_word(word) & ((F.length(word) > 1) | word.rlike("^[0-9]$"))
+    return ((F.length(word) > 1) | word.between("0", "9")) & ~is_stop_word(word)
 
 
 @F.pandas_udf(StringType())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.analysis import folded, is_indexed, raw_words, stripped, with_terms
+from ..sources.store import Store
 
 DOCUMENTS = T.StructType(
     [
@@ -23,6 +24,9 @@ DOCUMENTS = T.StructType(
 )
 
 
+SMALL_PART = 64 << 20
+"""Bytes; tables with less for each core are dealt over the cores first."""
+
 SCHEMAS = {
     "documents": "doc_id bigint, seq bigint, title string, body string, url string, tags array<string>, created_at timestamp, title_len int, body_len int",
     "postings": "term string, doc_id bigint, title array<int>, body array<int>",
@@ -34,7 +38,7 @@ SCHEMAS = {
 
 @dataclass
 class Index:
-    """``documents`` also has title_len and body_len; ``stats`` has one row."""
+    """``documents`` also has title_len and body_len; ``stats`` has one row.  ``built`` tells that all is derived from ``documents``."""
 
     documents: DataFrame
     postings: DataFrame
@@ -42,21 +46,33 @@ class Index:
     vocab: DataFrame
     stats: DataFrame
     stemmed: bool = True
+    built: bool = False
 
-    def write(self, path: str, partitions: int = 64) -> Index:
+    def write(self, path: str, partitions: int | None = None) -> Index:
         """Store the tables below ``path`` (any store Spark writes to) and give an index that reads them.
 
-        Postings and terms are range-partitioned and sorted by term, so that a query's term filter skips all but a few row groups;
-        vocabulary is partitioned by first character.  Term counts and corpus sums are taken from the postings and documents as
-        stored, so that texts are analysed no more often than needed.
+        Postings and terms are range-partitioned and sorted, so that a query's term filter skips all but a few row groups; postings by
+        term and document, so that a common term's are spread.  Vocabulary is partitioned by first character.  Texts are analysed
+        once for their words, which are stored by document for the time of writing; all else is taken from what is stored.
         """
         spark = self.documents.sparkSession
-        self.documents.write.mode("overwrite").parquet(f"{path}/documents")
-        self._sorted(self.postings, partitions).write.mode("overwrite").parquet(f"{path}/postings")
-        stored = {n: spark.read.schema(SCHEMAS[n]).parquet(f"{path}/{n}") for n in ("documents", "postings")}
-        self._sorted(terms_of(stored["postings"]), partitions).write.mode("overwrite").parquet(f"{path}/terms")
-        self.vocab.repartition("first").write.mode("overwrite").partitionBy("first").parquet(f"{path}/vocab")
-        stats_of(stored["documents"]).write.mode("overwrite").parquet(f"{path}/stats")
+        partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+        def stored(table: DataFrame, name: str) -> DataFrame:
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+            return spark.read.schema(table.schema).parquet(f"{path}/{name}")
+
+        documents = stored(self.documents, "documents")
+        postings, vocab = self.postings, self.vocab
+        if self.built:
+            words = stored(words_of(tokens_of(documents)), "words")
+            postings, vocab = postings_of(words, self.stemmed), vocab_of(words)
+        postings = stored(postings.repartitionByRange(partitions, "term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
+        self._sorted(terms_of(postings), partitions).write.mode("overwrite").parquet(f"{path}/terms")
+        vocab.repartition("first").write.mode("overwrite").partitionBy("first").parquet(f"{path}/vocab")
+        stats_of(documents).write.mode("overwrite").parquet(f"{path}/stats")
+        if self.built:
+            Store(spark, path).remove("words")
         return read_index(spark, path, self.stemmed)
 
     @staticmethod
@@ -95,21 +111,29 @@ def tokens_of(docs: DataFrame, *more: str) -> DataFrame:
     return field_words(docs, *more).where(is_indexed(F.col("surface")))
 
 
-def postings_of(tokens: DataFrame, stemmed: bool = True) -> DataFrame:
-    """(term, doc_id, title, body): sorted positions in either field."""
+def words_of(tokens: DataFrame) -> DataFrame:
+    """(doc_id, surface, title, body): sorted positions of each word of a document in either field."""
 
     def places(name: str) -> Column:
         return F.sort_array(F.collect_list(F.when(F.col("field") == name, F.col("position")))).alias(name)
 
-    return with_terms(tokens, stemmed=stemmed).groupBy("term", "doc_id").agg(places("title"), places("body"))
+    return tokens.groupBy("doc_id", "surface").agg(places("title"), places("body"))
+
+
+def postings_of(words: DataFrame, stemmed: bool = True) -> DataFrame:
+    """(term, doc_id, title, body): sorted positions in either field."""
+    rows = with_terms(words, stemmed=stemmed)
+    if not stemmed:  # each word is a term of its own
+        return rows.select("term", "doc_id", "title", "body")
+    return rows.groupBy("term", "doc_id").agg(*(F.sort_array(F.flatten(F.collect_list(c))).alias(c) for c in ("title", "body")))
 
 
 def terms_of(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def vocab_of(tokens: DataFrame) -> DataFrame:
-    counts = tokens.groupBy(F.col("surface").alias("word")).agg(F.count("*").alias("freq"))
+def vocab_of(words: DataFrame) -> DataFrame:
+    counts = words.groupBy(F.col("surface").alias("word")).agg(F.sum(F.size("title") + F.size("body")).alias("freq"))
     return counts.select("word", "freq", F.substring("word", 1, 1).alias("first"), F.length("word").alias("len"))
 
 
@@ -132,12 +156,19 @@ def prepared(docs: DataFrame) -> DataFrame:
     return with_lengths(tidy)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Deal a small table over all cores: one file of one row group would be analysed by one task.  Large ones are left as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if size < cores * SMALL_PART else docs
+
+
 def build_index(docs: DataFrame, stemmed: bool = True) -> Index:
     """The index of a table of documents.  Ids must be unique and not null."""
-    documents = prepared(docs)
-    tokens = tokens_of(documents)
-    postings = postings_of(tokens, stemmed)
-    return Index(documents, postings, terms_of(postings), vocab_of(tokens), stats_of(documents), stemmed)
+    documents = prepared(spread(docs))
+    words = words_of(tokens_of(documents))
+    postings = postings_of(words, stemmed)
+    return Index(documents, postings, terms_of(postings), vocab_of(words), stats_of(documents), stemmed, built=True)
 
 
 def _summed(old: DataFrame, plus: DataFrame, minus: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -155,13 +186,13 @@ def change_index(index: Index, insert: DataFrame | None = None, delete: DataFram
     ids = (empty if delete is None else delete.select("doc_id")).distinct()
     gone = index.documents.join(ids, "doc_id", "left_semi")
     new = prepared(insert) if insert is not None else index.documents.limit(0)
-    old_tokens, new_tokens = tokens_of(gone), tokens_of(new)
-    new_postings = postings_of(new_tokens, index.stemmed)
+    old_words, new_words = words_of(tokens_of(gone)), words_of(tokens_of(new))
+    new_postings = postings_of(new_words, index.stemmed)
     old_postings = index.postings.join(ids, "doc_id", "left_semi")
     documents = index.documents.join(ids, "doc_id", "left_anti").unionByName(new.select(*index.documents.columns))
     postings = index.postings.join(ids, "doc_id", "left_anti").unionByName(new_postings.select(*index.postings.columns))
     terms = _summed(index.terms, terms_of(new_postings), terms_of(old_postings), ["term"], "df")
-    vocab = _summed(index.vocab, vocab_of(new_tokens), vocab_of(old_tokens), ["word", "first", "len"], "freq").select("word", "freq", "first", "len")
+    vocab = _summed(index.vocab, vocab_of(new_words), vocab_of(old_words), ["word", "first", "len"], "freq").select("word", "freq", "first", "len")
     signed = index.stats.unionByName(stats_of(new)).unionByName(stats_of(gone).select(*(-F.col(c).alias(c) for c in index.stats.columns)).toDF(*index.stats.columns))
     stats = signed.agg(*(F.sum(c).alias(c) for c in index.stats.columns))
     return Index(documents, postings, terms, vocab, stats, index.stemmed)

@@ -44,7 +44,7 @@ def raw_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identifier_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = ix.vocab_of(ix.tokens_of(ix.prepared(corpus_of_documents(spark, sf_dir))))
+    words = ix.vocab_of(ix.words_of(ix.tokens_of(ix.prepared(corpus_of_documents(spark, sf_dir)))))
     return words.where(F.col("word").rlike(r"[0-9.+#\-]")).select("word", "freq")
 
 
@@ -220,6 +220,11 @@ def spell_best_d1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.corrections(_misspelt(spark).where("length(word) <= 6"), _index(spark, sf_dir).vocab)
 
 
+def spell_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All corrections, of long words within two edits."""
+    return spelling.corrections(_misspelt(spark), _index(spark, sf_dir).vocab)
+
+
 # --- keywords ---------------------------------------------------------------------------------------------------------
 
 
@@ -265,6 +270,6 @@ QUERIES: dict[str, Query] = {
         tokens_by_doc, token_positions, raw_word_counts, identifier_terms, page_word_counts, stem_terms, vocab_freq, vocab_top_words, term_df, postings_positions,
         corpus_stats, incremental_delta_df, delete_then_df, update_then_stats, coverage_score, expansion_search, facets_top20, search_page2, list_documents_page,
         get_document, snippets, parse_query_batch, intent_detection, query_log_popularity, popular_queries_top10, suggest_prefix, suggest_two_words,
-        spell_candidates_blocked, spell_best_d1, content_runs, rake_word_scores, rake_ngram_scores, keyword_idf_as_of, keywords_topk, labels_by_tag,
+        spell_candidates_blocked, spell_best_d1, spell_best, content_runs, rake_word_scores, rake_ngram_scores, keyword_idf_as_of, keywords_topk, labels_by_tag,
     )
 } | {name: _search(name) for name in SEARCHES}

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import subprocess
 import sys
 
@@ -13,6 +14,7 @@ from inkwell.operators.snippets import segments
 from inkwell.operators.spelling import corrections
 from inkwell.sources.documents import read_json, validated
 from inkwell.streaming.ingest import ingest, search_counts
+from test_analysis import distance
 
 CORPUS = [
     ("Building an inverted index", "An inverted index maps every term to the documents that hold it. A search engine reads its lists.", ["search"]),
@@ -145,6 +147,23 @@ def test_corrections(spark):
     assert [(r.word, r.correction, r.distance) for r in corrections(words, vocab).collect()] == [("serach", "search", 1)]
 
 
+def test_corrections_equal_brute_force(spark):
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choices("abc", k=rng.randint(3, 9))) for _ in range(120)})
+    freq = {w: rng.randint(1, 4) for w in words}
+    asked = sorted({"".join(rng.choices("abc", k=rng.randint(3, 9))) for _ in range(60)} | set(words[:10]))
+    vocab = spark.createDataFrame([(w, n, w[0], len(w)) for w, n in freq.items()], "word string, freq bigint, first string, len int")
+    wanted = {}
+    for a in asked:
+        limit = 0 if len(a) <= 3 else 1 if len(a) <= 6 else 2
+        near = [(distance(a, w), -freq[w], w) for w in words if w != a and w[0] in a[:2] and abs(len(w) - len(a)) <= 2]
+        near = [x for x in near if x[0] <= limit]
+        if near:
+            wanted[a] = (min(near)[2], min(near)[0])
+    got = {r.word: (r.correction, r.distance) for r in corrections(spark.createDataFrame([(a,) for a in asked], "word string"), vocab).collect()}
+    assert got == wanted and any(len(a) > 6 and d == 2 for a, (_, d) in wanted.items())
+
+
 def test_json_in_both_shapes(spark, tmp_path):
     docs = [{"title": "A", "body": "x"}, {"title": "B", "tags": ["t"]}]
     (tmp_path / "a.json").write_text(json.dumps(docs))
