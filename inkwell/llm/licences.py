@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Workspace
+from .shared import Workspace, spread_join
 from .wordscan import ALNUM_WORDS, Hasher, chunks, edges
 
 HASHES = Hasher(0x11CE)
@@ -211,12 +211,12 @@ def scan_licences(docs: DataFrame, path: Column, id_col: str = "doc_id", text_co
 
     votes = found.where("is_file AND path IS NOT NULL").groupBy("dir", "own").agg(F.count("*").alias("n"))
     said = votes.groupBy("dir").agg(F.min(F.struct((-F.col("n")).alias("n"), "own")).alias("v")).select(F.col("dir").alias("up"), F.col("v.own").alias("given"))
-    dirs = found.where("path IS NOT NULL").select("dir").distinct()
+    dirs = work.keep(found.where("path IS NOT NULL").groupBy("dir").agg(F.count("*").alias("n")), "dirs")
     parts = F.split("dir", "/")
     ups = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("up")))
     above = dirs.select("dir", F.explode(F.filter(ups, lambda u: (u["depth"] == 0) | (u["up"] != ""))).alias("u")).select("dir", "u.depth", "u.up")
     nearest = above.join(said, "up").groupBy("dir").agg(F.max(F.struct("depth", "up", "given")).alias("g")).select("dir", "g.up", "g.given")
 
-    both = found.join(nearest, (found.dir == nearest.dir) & found.path.isNotNull(), "left")
+    both = spread_join(found, work.keep(dirs.join(nearest, "dir", "left"), "nearest"), ["dir"], "left")  # no path: no dir
     origin = F.when(F.col("own").isNotNull(), F.lit("text")).when(F.col("given").isNotNull(), F.col("up"))
     return both.select(F.col("id").alias("doc_id"), "path", "own", "score", "is_file", F.coalesce("own", "given").alias("licence"), origin.alias("origin"))
