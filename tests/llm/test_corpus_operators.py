@@ -425,9 +425,9 @@ def test_licences(spark):
     ]
     table = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
     found = {r.doc_id: r for r in licences.scan_licences(table, F.col("path"), threshold=0.5).collect()}
-    assert {k: r.own for k, r in found.items() if r.own} == {1: "MIT", 2: "Apache-2.0", 4: "GPL-3.0", 7: "CC-BY-NC-4.0"}
+    assert {k: r.own for k, r in found.items() if r.own} == {1: "MIT", 2: "Apache-2.0", 4: "GPL-3.0", 7: "CC-BY-NC-4.0", 9: "CC-BY-4.0"}
     assert (found[3].licence, found[3].origin) == ("GPL-3.0", "a/b") and (found[5].licence, found[5].origin) == ("MIT", "a")
-    assert found[2].origin == "text" and found[6].licence is None and found[8].licence is None and found[9].licence == "GPL-3.0"
+    assert found[2].origin == "text" and found[6].licence is None and found[8].licence is None and found[9].licence == "CC-BY-4.0"
     assert licences.scan_licences(table.limit(0), F.col("path")).count() == 0
 
 
