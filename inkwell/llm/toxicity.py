@@ -28,8 +28,8 @@ from .wordscan import PLAIN_WORDS, Chunk, Hasher, chunks, edges
 
 SPAN = 6
 DECAY = 0.7
-LANDMARKS = 64
-TRAIN_TOXIC, TRAIN_CLEAN = 1000, 2000
+LANDMARKS = 256
+TRAIN_TOXIC, TRAIN_CLEAN = 1500, 2000
 """Labelled documents of either class that are fitted on at most, chosen by a hash of the id."""
 TRAIN_CHARS = 20_000
 """Longer documents are scored, but not fitted on."""
@@ -86,25 +86,28 @@ def units(chunk: Chunk) -> Units:
     return Units(symbols[symbols > 0], sums[starts[first]], at)
 
 
-def decisions(u: Units, table: np.ndarray) -> np.ndarray:
-    """For each word: the decayed sum of ``table`` over its subsequences, scaled by length.  A table of rows gives a row each."""
+def _codes(u: Units, a: int, b: int) -> np.ndarray:
+    """For each symbol that has one b places on: the code of itself, the one a places on and that."""
     s, n = u.symbols.astype(np.int32), len(u.symbols)
+    return (s[: n - b] << 12) | (s[a : n - b + a] << 6) | s[b:] if n > b else s[:0]
+
+
+def _left(u: Units) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol: how many are left to its word's end, itself included; and the length of each word."""
+    ends = np.append(u.starts[1:], len(u.symbols))
+    return np.repeat(ends, ends - u.starts) - np.arange(len(u.symbols)), ends - u.starts
+
+
+def decisions(u: Units, table: np.ndarray) -> np.ndarray:
+    """For each word: the decayed sum of ``table`` over its subsequences, scaled by length."""
     if not len(u.starts):
-        return np.zeros((0, *table.shape[1:]), np.float32)
-    ends = np.append(u.starts[1:], n)
-    total = np.zeros((n, *table.shape[1:]), np.float32)
-    left = np.repeat(ends, ends - u.starts) - np.arange(n)  # symbols from here to the word's end
+        return np.zeros(0, np.float32)
+    total = np.zeros(len(u.symbols), np.float32)
+    left, lengths = _left(u)
     for a, b in OFFSETS:
-        at = np.flatnonzero(left > b) if table.ndim > 1 else slice(0, max(n - b, 0))
-        code = (s[: n - b] << 12) | (s[a : n - b + a] << 6) | s[b:] if n > b else s[:0]
-        if table.ndim > 1:
-            for lo in range(0, len(at), 1 << 14):
-                part = at[lo : lo + (1 << 14)]
-                total[part] += table[code[part]] * np.float32(DECAY ** (b - 1))
-        else:
-            total[at] += table[code] * np.where(left[at] > b, np.float32(DECAY ** (b - 1)), np.float32(0))
-    size = scale(ends - u.starts)
-    return np.add.reduceat(total, u.starts, axis=0) / (size[:, None] if table.ndim > 1 else size)
+        at = slice(0, max(len(u.symbols) - b, 0))
+        total[at] += table[_codes(u, a, b)] * np.where(left[at] > b, np.float32(DECAY ** (b - 1)), np.float32(0))
+    return np.add.reduceat(total, u.starts) / scale(lengths)
 
 
 def scale(lengths: np.ndarray) -> np.ndarray:
@@ -123,6 +126,47 @@ def feature_table(symbols: np.ndarray) -> np.ndarray:
     return out / scale(np.array([n]))[0]
 
 
+class Landmarks:
+    """Nyström features: a word's kernel to each landmark, times the inverse root of the landmarks' own kernel.
+
+    Only the subsequences that some landmark has are kept, a row each in ``values``; the last row, of zeros, is for all others.
+    """
+
+    def __init__(self, words: list[np.ndarray]):
+        tables = [feature_table(w) for w in words]
+        held = [np.flatnonzero(t) for t in tables]
+        self.codes = np.unique(np.concatenate(held))
+        self.row = np.full(1 << 18, len(self.codes), np.int32)
+        self.row[self.codes] = np.arange(len(self.codes))
+        self.values = np.zeros((len(self.codes) + 1, len(words)), np.float32)
+        for n, (t, h) in enumerate(zip(tables, held, strict=True)):
+            self.values[self.row[h], n] = t[h]
+        values, vectors = np.linalg.eigh((self.values.T @ self.values).astype(np.float64))
+        good = values > 1e-4 * values.max()
+        self.root = vectors[:, good] / np.sqrt(values[good])
+
+    def kernel(self, u: Units) -> np.ndarray:
+        """A row for each word: its kernel to every landmark."""
+        total = np.zeros((len(u.symbols), self.values.shape[1]), np.float32)
+        left, lengths = _left(u)
+        for a, b in OFFSETS:
+            row = self.row[_codes(u, a, b)]
+            at = np.flatnonzero((left[: len(row)] > b) & (row < len(self.codes)))
+            for lo in range(0, len(at), 1 << 14):
+                part = at[lo : lo + (1 << 14)]
+                total[part] += self.values[row[part]] * np.float32(DECAY ** (b - 1))
+        return np.add.reduceat(total, u.starts, axis=0) / scale(lengths)[:, None]
+
+    def features(self, u: Units) -> np.ndarray:
+        return self.kernel(u) @ self.root.astype(np.float32)
+
+    def table(self, weights: np.ndarray) -> np.ndarray:
+        """One weight for each subsequence, of a machine with these weights on the features."""
+        out = np.zeros(1 << 18, np.float32)
+        out[self.codes] = self.values[:-1] @ (self.root @ weights).astype(np.float32)
+        return out
+
+
 @dataclass
 class Model:
     """``table`` and ``bias`` decide on words; ``doc`` weighs a document's three measures and a constant."""
@@ -157,10 +201,14 @@ def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, w: np.ndarray | None = Non
     """Squared-hinge linear machine with a bias in the last, constant feature, by Newton's method."""
     w = np.zeros(x.shape[1]) if w is None else w
     for _ in range(steps):
-        margin = 1 - y * (x @ w)
-        on = margin > 0
-        g = w - 2 * x[on].T @ (c[on] * y[on] * margin[on])
-        h = np.eye(len(w)) + 2 * (x[on] * c[on][:, None]).T @ x[on]
+        g, h = w.copy(), np.eye(len(w))
+        for lo in range(0, len(x), 4096):
+            part = x[lo : lo + 4096].astype(np.float64)
+            margin = 1 - y[lo : lo + 4096] * (part @ w)
+            on = margin > 0
+            part, weight = part[on], c[lo : lo + 4096][on]
+            g -= 2 * part.T @ (weight * y[lo : lo + 4096][on] * margin[on])
+            h += 2 * (part * weight[:, None]).T @ part
         step = np.linalg.solve(h, g)
         w = w - step
         if np.abs(step).max() < 1e-3 * np.abs(w).max():
@@ -211,22 +259,18 @@ def _words_machine(parts: list[Units], labels: np.ndarray, seed: int) -> tuple[n
     ranked = ranked[length[ranked] >= 3]
     top = LANDMARKS * 3 // 4
     chosen = np.concatenate([ranked[:top], rng.permutation(ranked[top:])[: LANDMARKS - top]])
-    tables = np.empty((1 << 18, len(chosen)), np.float32)
-    for n, k in enumerate(chosen.tolist()):
-        tables[:, n] = feature_table(symbols[at[k] : at[k] + length[k]])
-    values, vectors = np.linalg.eigh((tables.T @ tables).astype(np.float64))
-    good = values > 1e-4 * values.max()
-    root = vectors[:, good] / np.sqrt(values[good])
+    marks = Landmarks([symbols[at[k] : at[k] + length[k]] for k in chosen.tolist()])
 
-    place, known = np.full(len(first), -1), np.zeros((0, root.shape[1] + 1))
+    place, known = np.full(len(first), -1), np.zeros((0, marks.root.shape[1] + 1), np.float32)
 
     def features(which: np.ndarray) -> np.ndarray:
         nonlocal known
         new = which[place[which] < 0]
         if len(new):
             place[new] = len(known) + np.arange(len(new))
-            made = [decisions(some_words(new[k : k + 2048]), tables) @ root for k in range(0, len(new), 2048)]
-            known = np.concatenate([known, np.column_stack([np.concatenate(made), np.ones(len(new))])])
+            made = [marks.features(some_words(new[k : k + 2048])) for k in range(0, len(new), 2048)]
+            made = np.concatenate(made)
+            known = np.concatenate([known, np.column_stack([made, np.ones(len(made), np.float32)])])
         return known[place[which]]
 
     clean, everything = np.flatnonzero(n0), np.arange(len(first))
@@ -244,7 +288,7 @@ def _words_machine(parts: list[Units], labels: np.ndarray, seed: int) -> tuple[n
         y = np.concatenate([np.ones(len(use)), -np.ones(len(neg))])
         c = np.concatenate([pos[use], n0[hard] + 1, (n0[rest] + 1) * scale_up]) * COST
         w = _svm(features(np.concatenate([use, neg])), y, c, w)
-        table = (tables @ (root @ w[:-1]).astype(np.float32)).astype(np.float32)
+        table = marks.table(w[:-1])
         decision = np.concatenate([decisions(some_words(everything[k : k + (1 << 14)]), table) for k in range(0, len(everything), 1 << 14)]) + w[-1]
     return table, float(w[-1])
 
@@ -297,7 +341,6 @@ def _some(rows: DataFrame, times: int) -> DataFrame:
     return of(True, TRAIN_TOXIC).unionByName(of(False, TRAIN_CLEAN))
 
 
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on the labelled documents whose crc32 of the id modulo 5 is not 0."""
     rows = training_rows(docs, labels, id_col, text_col).collect()

@@ -387,6 +387,71 @@ def test_toxicity_edges(spark, docs, empty):
     assert (toxicity.scores(toxicity.train(docs, nobody), pa.array(["x", None])) < 0.5).all()
 
 
+def phi(word):
+    """Each subsequence of three letters that spans at most six, with the sum of its decays, over the norm of its length."""
+    out = {}
+    for i in range(len(word)):
+        for k in range(i + 2, min(i + 6, len(word))):
+            for j in range(i + 1, k):
+                out[word[i] + word[j] + word[k]] = out.get(word[i] + word[j] + word[k], 0) + 0.7 ** (k - i - 1)
+    spans = [k - i for i in range(len(word)) for k in range(i + 2, min(i + 6, len(word))) for _ in range(k - i - 1)]
+    norm = sum(0.7 ** (2 * (s - 1)) for s in spans) ** 0.5
+    return {c: v / norm for c, v in out.items()}
+
+
+def test_the_subsequence_kernel_and_its_landmarks():
+    """Against a naive kernel; features of landmarks reproduce the kernel, those of other words its projection on the landmarks."""
+    words = ["moron", "mo.ron", "mxoron", "banana", "aaaaaaaa", "ab", "anagram", "idiot", "diotic"]
+    plain = [re.sub(r"\W", "", w) for w in words]
+    naive = np.array([[sum(v * phi(b).get(c, 0) for c, v in phi(a).items()) for b in plain] for a in plain])
+    u = toxicity.units(next(iter(toxicity.chunks(pa.array([" ".join(words)])))))
+    ends = np.append(u.starts[1:], len(u.symbols))
+    symbols = [u.symbols[a:b] for a, b in zip(u.starts, ends, strict=True)]
+    held = [0, 3, 6, 7]
+    marks = toxicity.Landmarks([symbols[k] for k in held])
+    assert np.allclose(marks.kernel(u), naive[:, held], atol=1e-5)
+    f = marks.features(u)
+    assert np.allclose(f @ f.T, naive[:, held] @ np.linalg.inv(naive[np.ix_(held, held)]) @ naive[held], atol=1e-4)
+    w = np.random.default_rng(1).normal(size=f.shape[1])
+    assert np.allclose(toxicity.decisions(u, marks.table(w)), f @ w, atol=1e-4)
+
+
+def test_quality_by_hand(spark):
+    """Every posterior from the evidence, by plain sums; hosts of one document, a host of many paths, null sites, repeated rows."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = [(k, text(rng.randint(0, 40)), rng.choice(["a", "a", "a", "b", None]), rng.choice(["p", "q", None]), 0.1, "m") for k in range(80)]
+    rows += [(100 + k, text(5), f"host{k}", "p", 0.1, "m") for k in range(4)] + rows[:2]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, h string, p string, evidence double, m string").repartition(3)
+    model = quality.fit(quality.measures(pa.array([r[1] for r in rows])), np.array([len(r[1]) > 150 for r in rows], np.float64))
+    for part in (table, table.where("h = 'b'")):
+        found = quality.score_quality(part, model, F.col("h"), F.col("p")).collect()
+        assert len(found) == part.count() > 0
+        n, good = {}, {}
+        for r in found:
+            for key in ("", (r.host,), (r.host, r.path)):
+                n[key], good[key] = n.get(key, 0) + 1, good.get(key, 0) + r.evidence
+        corpus = (good[""] + 0.5) / (n[""] + 1)
+
+        def strength(keys, parent, n=n, good=good):
+            total = sum(n[k] for k in keys)
+            mean = sum(good[k] for k in keys) / total
+            between = sum(n[k] * (good[k] / n[k] - parent(k)) ** 2 for k in keys) / total
+            return max(1, min(1e4, mean * (1 - mean) / max(between - mean * (1 - mean) * len(keys) / total, 1e-9)))
+
+        hosts, paths = [k for k in n if len(k) == 1], [k for k in n if len(k) == 2]
+        k0 = strength(hosts, lambda k: corpus)
+        of_host = {k: (good[k] + k0 * corpus) / (n[k] + k0) for k in hosts}
+        k1 = strength(paths, lambda k: of_host[k[:1]])
+        odds = lambda p: np.log(p / (1 - p))
+        for r in found:
+            key = (r.host, r.path)
+            site = (good[key] - r.evidence + k1 * of_host[key[:1]]) / (n[key] - 1 + k1)
+            z = odds(min(max(r.evidence, 1e-9), 1 - 1e-9)) + odds(min(max(site, 1e-6), 1 - 1e-6)) - odds(corpus)
+            assert abs(r.site - site) < 1e-6 and abs(r.quality - 1 / (1 + np.exp(-z))) < 1e-6 and r.keep == (r.quality >= 0.5)
+
+
 def test_quality(spark, docs, empty):
     from pyspark.sql import functions as F
 
