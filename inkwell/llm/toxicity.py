@@ -133,14 +133,17 @@ class Landmarks:
     """
 
     def __init__(self, words: list[np.ndarray]):
-        tables = [feature_table(w) for w in words]
-        held = [np.flatnonzero(t) for t in tables]
-        self.codes = np.unique(np.concatenate(held))
+        held = []
+        for w in words:
+            table = feature_table(w)
+            at = np.flatnonzero(table)
+            held.append((at, table[at]))
+        self.codes = np.unique(np.concatenate([at for at, _ in held]))
         self.row = np.full(1 << 18, len(self.codes), np.int32)
         self.row[self.codes] = np.arange(len(self.codes))
         self.values = np.zeros((len(self.codes) + 1, len(words)), np.float32)
-        for n, (t, h) in enumerate(zip(tables, held, strict=True)):
-            self.values[self.row[h], n] = t[h]
+        for n, (at, of) in enumerate(held):
+            self.values[self.row[at], n] = of
         values, vectors = np.linalg.eigh((self.values.T @ self.values).astype(np.float64))
         good = values > 1e-4 * values.max()
         self.root = vectors[:, good] / np.sqrt(values[good])
@@ -152,8 +155,8 @@ class Landmarks:
         for a, b in OFFSETS:
             row = self.row[_codes(u, a, b)]
             at = np.flatnonzero((left[: len(row)] > b) & (row < len(self.codes)))
-            for lo in range(0, len(at), 1 << 14):
-                part = at[lo : lo + (1 << 14)]
+            for lo in range(0, len(at), 1 << 12):
+                part = at[lo : lo + (1 << 12)]
                 total[part] += self.values[row[part]] * np.float32(DECAY ** (b - 1))
         return np.add.reduceat(total, u.starts, axis=0) / scale(lengths)[:, None]
 
