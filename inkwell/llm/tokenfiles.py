@@ -145,7 +145,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         part, folder = docs.where(F.pmod(F.xxhash64(id_col), F.lit(waves)) == k), f"{work.path}/files-{k}"
         names = work.keep(write_token_files(part, folder, id_col, text_col, ranks), f"names-{k}")
         counts = count_tokens(names, folder, work, block_bytes, step=f"blocks-{k}")
-        counts = work.keep(names.join(counts, ["file", "ordinal"]).select(F.col("id").alias("doc_id"), "n_tokens"), f"counts-{k}")
+        # by merge: the names grow with the corpus, even where Spark's estimate lets them be broadcast
+        counts = work.keep(names.hint("merge").join(counts, ["file", "ordinal"]).select(F.col("id").alias("doc_id"), "n_tokens"), f"counts-{k}")
         work.drop(f"files-{k}")
         out = counts if out is None else out.unionByName(counts)
     return out
