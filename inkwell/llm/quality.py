@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Workspace
+from .shared import Workspace, spread_join
 from .wordscan import LOWER_WORDS, Hasher, chunks, edges
 
 TRAIN_DOCS = 4000
@@ -109,7 +109,7 @@ def _odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(sites: DataFrame, parent: str) -> Column:
+def _strength(parent: str) -> Column:
     """How many documents a site's parent is worth: from the mean within-site variance and the variance between sites' shares.
 
     By moments, over sites of at least two documents; between 1 and 10,000, and 10,000 if sites don't differ beyond chance.
@@ -129,7 +129,8 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarr
     Null hosts and paths are sites of their own.  Null and empty texts have the measures of an empty text.  Repeated rows count as
     often as they come.  No other columns are read.  An empty table gives an empty result.
 
-    Sums by path and host are combined on the map side; site tables join by key, broadcast only if Spark finds them small.
+    Sums by path and host are combined on the map side.  Priors join by key; hosts of many paths and paths of many documents are
+    joined by broadcast, a bounded number of them, so that none meets in one task.
     """
     mean, spread, weights = model
     work = Workspace(docs.sparkSession, "quality")
@@ -145,17 +146,18 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarr
 
     paths = told.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("good"))
     paths = work.keep(paths, "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("docs"), F.sum("good").alias("good"), F.count("*").alias("paths"))
     whole = paths.agg(((F.sum("good") + 0.5) / (F.sum("n") + 1)).alias("all"))
-    hosts = hosts.crossJoin(F.broadcast(whole))  # one row
-    k0 = hosts.agg(_strength(hosts, "all").alias("k0"))
-    hosts = hosts.crossJoin(F.broadcast(k0)).select("host", "all", ((F.col("good") + F.col("k0") * F.col("all")) / (F.col("n") + F.col("k0"))).alias("of_host"))
-    paths = paths.join(hosts, "host")
-    k1 = paths.agg(_strength(paths, "of_host").alias("k1"))
-    paths = paths.crossJoin(F.broadcast(k1)).select("host", "path", "n", "good", "all", "of_host", "k1")
-
-    both = told.join(paths, ["host", "path"])
-    site = (F.col("good") - F.col("evidence") + F.col("k1") * F.col("of_host")) / (F.col("n") - 1 + F.col("k1"))
+    hosts = work.keep(hosts.crossJoin(F.broadcast(whole)), "hosts")  # one row
+    k0 = hosts.select("good", F.col("docs").alias("n"), "all").agg(_strength("all").alias("k0"))
+    of_host = (F.col("good") + F.col("k0") * F.col("all")) / (F.col("docs") + F.col("k0"))
+    hosts = work.keep(hosts.crossJoin(F.broadcast(k0)).select("host", "all", of_host.alias("of_host"), F.col("paths").alias("n")), "host-priors")
+    paths = work.keep(spread_join(paths, hosts, ["host"]), "path-priors")
+    k1 = paths.agg(_strength("of_host").alias("k1"))
+    paths = work.keep(paths.crossJoin(F.broadcast(k1)).select("host", "path", "n", F.col("n").alias("docs"), "good", "all", "of_host", "k1"), "priors")
+
+    both = spread_join(told, paths, ["host", "path"])
+    site = (F.col("good") - F.col("evidence") + F.col("k1") * F.col("of_host")) / (F.col("docs") - 1 + F.col("k1"))
     both = both.withColumn("site", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), site)))
     own = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("evidence")))
     logit = _odds(own) + _odds(F.col("site")) - _odds(F.col("all"))
