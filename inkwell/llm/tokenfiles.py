@@ -125,7 +125,9 @@ def count_tokens(files: DataFrame, folder: str, work: Workspace, block_bytes: in
     sums = sums.select("file", "block", "n", "tail", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("tail").over(before), F.lit(0)).alias("tails"))
     open_ = F.col("tails") - F.coalesce(F.last(F.when(ends, F.col("tails")), ignorenulls=True).over(before), F.lit(0))
     sums = sums.withColumn("carry", open_).withColumn("last", F.lead("block").over(in_file).isNull())
-    found = scanned.select("file", "block", F.posexplode("lengths").alias("k", "length")).join(sums.select("file", "block", "base", "carry"), ["file", "block"])
+    # by merge: the lengths grow with the corpus, even where Spark's estimate lets them be broadcast
+    found = scanned.select("file", "block", "lengths").hint("merge").join(sums.select("file", "block", "base", "carry"), ["file", "block"])
+    found = found.select("file", "base", "carry", F.posexplode("lengths").alias("k", "length"))
     closed = found.select("file", (F.col("base") + F.col("k")).alias("ordinal"), (F.col("length") + F.when(F.col("k") == 0, F.col("carry")).otherwise(0)).alias("n_tokens"))
     rest = F.col("tail") + F.when(ends, F.lit(0)).otherwise(F.col("carry"))
     unclosed = sums.where(F.col("last") & (rest > 0)).select("file", (F.col("base") + F.col("n")).alias("ordinal"), rest.alias("n_tokens"))
