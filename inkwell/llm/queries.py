@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, hardnegatives, licences, neighbours, pieces, quality, simhash, substring, tokenfiles, toxicity
+from . import chat, decontamination, hardnegatives, licences, neighbours, pieces, quality, simhash, substring, tokenbits, tokenfiles, toxicity
 
 PROBE = "</s>[INST] ok [/INST]"
 """Text of both turns of conversation -1, which looks like template marks."""
@@ -154,6 +154,15 @@ FROM positives JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 5
 """
 
+def op13_token_binary_output(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("word_bpe_49k.json")
+    back = tokenbits.write_and_read(_read(spark, sf_dir, "documents"), model)
+    return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -166,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_token_binary_output": op13_token_binary_output,
 }
 
 ORACLES: dict[str, str] = {
