@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, hardnegatives, licences, neighbours, pieces, quality, simhash, substring, tokenbits, tokenfiles, toxicity
+from . import chat, decontamination, hardnegatives, licences, merkle, neighbours, pieces, quality, simhash, substring, tokenbits, tokenfiles, toxicity
 
 PROBE = "</s>[INST] ok [/INST]"
 """Text of both turns of conversation -1, which looks like template marks."""
@@ -154,6 +154,19 @@ FROM positives JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 5
 """
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second document's text loses its line ends, by a checksum of its id, before its proof is tried."""
+    docs = _read(spark, sf_dir, "documents")
+    rest = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    changed = F.when(tampered, merkle.leaf_hash(*rest, F.replace("text", F.lit("\n"), F.lit(""))))
+    table = docs.select("doc_id", "source", merkle.leaf_hash(*rest, F.col("text")).alias("leaf"), changed.alias("changed"))
+    found = merkle.manifest(table, "source", ["doc_id"], "leaf", ["doc_id", "changed"])
+    folded = merkle.fold(F.coalesce("row.changed", "leaf"), F.col("path"))
+    found = found.select("row.doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_token_binary_output(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     if model is None:
         import public_tokenizers
@@ -175,6 +188,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_token_binary_output": op13_token_binary_output,
 }
 
