@@ -37,7 +37,7 @@ LONGEST = 18
 LANE, BLOCK = 256, 1 << 16
 GROUP = 32
 """Blocks that are encoded or decoded at a time."""
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 MEMO = 1_000_000
 """Words that a task remembers at most before it starts afresh."""
 HASHES = Hasher(0xB17)
@@ -388,7 +388,7 @@ def load_code(folder: str) -> Code:
     return once_per_worker(("code", folder), build)
 
 
-FILE_IDS = 1 << 23
+FILE_IDS = 1 << 22
 """Ids of a file, about: a task begins another one then."""
 
 
