@@ -38,7 +38,8 @@ SCHEMAS = {
 
 @dataclass
 class Index:
-    """``documents`` also has title_len and body_len; ``stats`` has one row.  ``built`` tells that all is derived from ``documents``."""
+    """``documents`` also has title_len and body_len; ``stats`` has one row.  ``built`` tells that all is derived from ``documents``.
+    ``keywords``, if the index was made by changes, has those of each document as of its arrival."""
 
     documents: DataFrame
     postings: DataFrame
@@ -47,12 +48,13 @@ class Index:
     stats: DataFrame
     stemmed: bool = True
     built: bool = False
+    keywords: DataFrame | None = None
 
     def write(self, path: str, partitions: int | None = None) -> Index:
         """Store the tables below ``path`` (any store Spark writes to) and give an index that reads them.
 
         Postings and terms are range-partitioned and sorted, so that a query's term filter skips all but a few row groups; postings by
-        term and document, so that a common term's are spread.  Vocabulary is partitioned by first character.  Texts are analysed
+        term and document, so that a common term's are spread; vocabulary by first character and word.  Texts are analysed
         once for their words, which are stored by document for the time of writing; all else is taken from what is stored.
         """
         spark = self.documents.sparkSession
@@ -69,7 +71,7 @@ class Index:
             postings, vocab = postings_of(words, self.stemmed), vocab_of(words)
         postings = stored(postings.repartitionByRange(partitions, "term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
         self._sorted(terms_of(postings), partitions).write.mode("overwrite").parquet(f"{path}/terms")
-        vocab.repartition("first").write.mode("overwrite").partitionBy("first").parquet(f"{path}/vocab")
+        vocab.repartitionByRange(partitions, "first", "word").sortWithinPartitions("first", "word").write.mode("overwrite").parquet(f"{path}/vocab")
         stats_of(documents).write.mode("overwrite").parquet(f"{path}/stats")
         if self.built:
             Store(spark, path).remove("words")
@@ -198,14 +200,14 @@ def change_index(index: Index, insert: DataFrame | None = None, delete: DataFram
     return Index(documents, postings, terms, vocab, stats, index.stemmed)
 
 
-def update_documents(index: Index, changes: DataFrame) -> Index:
-    """Apply ``changes`` (doc_id and any of title, body, url, tags) to stored documents, which keep id, arrival and creation time.
+def merged_documents(documents: DataFrame, changes: DataFrame) -> DataFrame:
+    """Stored documents with ``changes`` (doc_id and any of title, body, url, tags) applied; they keep id, arrival and creation time.
 
     A null title, body or tags, or an empty title, leaves the old one; a null url clears it if the column is there.
     """
     has = set(changes.columns)
     named = changes.select("doc_id", *(F.col(c).alias(f"new_{c}") for c in ("title", "body", "url", "tags") if c in has))
-    rows = index.documents.join(named, "doc_id")
+    rows = documents.join(named, "doc_id")
 
     def merged(c: str) -> Column:
         if c not in has:
@@ -215,5 +217,9 @@ def update_documents(index: Index, changes: DataFrame) -> Index:
         new = F.when(F.col("new_title") != "", F.col("new_title")) if c == "title" else F.col(f"new_{c}")
         return F.coalesce(new, F.col(c)).alias(c)
 
-    merged_rows = rows.select("doc_id", "seq", *(merged(c) for c in ("title", "body", "url", "tags")), "created_at")
-    return change_index(index, merged_rows, named)
+    return rows.select("doc_id", "seq", *(merged(c) for c in ("title", "body", "url", "tags")), "created_at")
+
+
+def update_documents(index: Index, changes: DataFrame) -> Index:
+    """Apply ``changes`` to stored documents, as ``merged_documents`` tells."""
+    return change_index(index, merged_documents(index.documents, changes), changes.select("doc_id"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,35 +12,28 @@ from ..engine import Engine
 from ..operators.suggest import log_key
 from ..sources.documents import FIELDS
 
-BATCH_IDS = 1 << 40
-"""Ids that each batch has for documents without one."""
-
-
 def ingest(engine: Engine, spark: SparkSession, folder: str, checkpoint: str) -> StreamingQuery:
     """Index JSON-lines files that appear in ``folder``, with ids of their own or new ones.
 
     Each micro-batch is one bulk insert.  A document whose id is stored replaces that one; of several with one id in a batch the
-    last counts.  A refused document changes nothing: what is stored under its id stays.  Documents without an id get one from
-    the batch's number and their content, so a batch that is delivered again after a failure replaces what it had added; equal
-    ones in a batch are told apart by a counter.  What came of each document is the job ``batch`` and the batch's number.
+    last counts.  A refused document changes nothing: what is stored under its id stays.  Documents without an id get the next free
+    ones of the index, like any others, so streams don't disturb one another.  The number of the stream's last batch is committed
+    with its documents, so a batch that is delivered again after a failure adds nothing.  What came of each document is the job of the stream's
+    id, without its dashes, ``batch`` and the batch's number.
     """
     stream = spark.readStream.schema(f"doc_id bigint, {FIELDS}").json(folder)
 
     def apply(batch: DataFrame, number: int) -> None:
-        engine.add(batch_ids(batch, number), replace=True, key=f"batch{number}")
+        name = stream_id(spark, checkpoint)
+        engine.add(batch, replace=True, key=f"{name}batch{number}", stream=(name, number))
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def batch_ids(batch: DataFrame, number: int) -> DataFrame:
-    """Give documents without an id one of their batch's own, -1 - number * BATCH_IDS and below, in the order of their content."""
-    content = F.xxhash64("title", "body", "url", "tags")
-    rows = batch.withColumn("hash", F.when(F.col("doc_id").isNull(), content))
-    none = rows.where("doc_id IS NULL")
-    bucket = F.pmod("hash", F.lit(1 << 20))
-    place = F.row_number().over(W.partitionBy(bucket).orderBy("hash", "title", "body", "url", "tags")) - 1
-    new = -1 - F.lit(number).cast("long") * BATCH_IDS - bucket * (1 << 20) - place
-    return rows.where("doc_id IS NOT NULL").drop("hash").unionByName(none.withColumn("doc_id", new.cast("long")).drop("hash"))
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave a stream when its checkpoint was made: a new checkpoint in the same place is another stream."""
+    (row,) = spark.read.text(f"{checkpoint}/metadata").collect()
+    return json.loads(row.value)["id"].replace("-", "")
 
 
 def search_counts(searches: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
