@@ -71,11 +71,20 @@ def is_indexed(word: Column) -> Column:
     return ((F.length(word) > 1) | word.between("0", "9")) & ~is_stop_word(word)
 
 
+STEMS = 500_000
+"""Words that a task remembers at most before it starts afresh."""
+
+
 @F.pandas_udf(StringType())
 def stem_words(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Stems of words; meant for the distinct words of a corpus."""
+    """Stems of words; a task remembers those it has met."""
+    known: dict[str, str] = {}
     for words in parts:
-        yield words.map(stem, na_action="ignore")
+        if len(known) > STEMS:
+            known.clear()
+        new = set(words.dropna().unique()) - known.keys()
+        known.update((w, stem(w)) for w in new)
+        yield words.map(known, na_action="ignore")
 
 
 def with_terms(rows: DataFrame, surface: str = "surface", stemmed: bool = True) -> DataFrame:

@@ -104,8 +104,9 @@ def field_words(docs: DataFrame, *more: str) -> DataFrame:
     def marked(column: str) -> Column:
         return F.transform(raw_words(F.col(column)), lambda w, k: F.struct(F.lit(column).alias("field"), k.alias("position"), w.alias("surface")))
 
-    words = F.explode(F.concat(marked("title"), marked("body"))).alias("w")
-    return docs.select("doc_id", *more, words).select("doc_id", *more, "w.*")
+    # the outer form: for the other Spark infers a filter on the array and makes it twice, before texts are dealt
+    words = F.explode_outer(F.concat(marked("title"), marked("body"))).alias("w")
+    return docs.select("doc_id", *more, words).where("w IS NOT NULL").select("doc_id", *more, "w.*")
 
 
 def tokens_of(docs: DataFrame, *more: str) -> DataFrame:

@@ -120,6 +120,22 @@ fragments AS (
   SELECT doc_id, word, count(*) AS frequency, sum(least(run_len, 3) - 1)::BIGINT AS degree, (sum(least(run_len, 3) - 1) + count(*)) / count(*) AS word_score FROM runs GROUP BY doc_id, word
 )"""
 
+STORED_DOCS = DOCS.replace("docs AS", "all_docs AS") + f""", docs AS (
+  SELECT doc_id, title, CASE WHEN doc_id % 5 = 0 THEN title ELSE body END AS body, tags FROM all_docs JOIN (SELECT doc_id, length(regexp_extract(coalesce(text, ''), '^[^.!?\\n]*')) AS raw_len FROM documents) USING (doc_id)
+  WHERE doc_id % 10 <> 0 AND title <> '' AND raw_len <= 500 AND length(body) <= 1000000
+)"""
+STORED = INDEX.replace(DOCS, STORED_DOCS)
+
+GRAMS = """
+grams AS (
+  SELECT a.doc_id, g.n, CASE g.n WHEN 1 THEN a.word WHEN 2 THEN a.word || ' ' || b.word ELSE a.word || ' ' || b.word || ' ' || c.word END AS phrase, a.at = 1 AND a.run_len = g.n AS whole,
+    CASE g.n WHEN 1 THEN x.word_score WHEN 2 THEN x.word_score + y.word_score ELSE x.word_score + y.word_score + z.word_score END AS total,
+    CASE g.n WHEN 1 THEN x.s WHEN 2 THEN x.s + y.s ELSE x.s + y.s + z.s END AS weight
+  FROM runs a JOIN (SELECT unnest([1, 2, 3]) AS n) g ON a.at + g.n - 1 <= a.run_len
+  LEFT JOIN runs b ON (b.doc_id, b.f, b.island, b.at) = (a.doc_id, a.f, a.island, a.at + 1) LEFT JOIN runs c ON (c.doc_id, c.f, c.island, c.at) = (a.doc_id, a.f, a.island, a.at + 2)
+  JOIN weights x ON (x.doc_id, x.word) = (a.doc_id, a.word) LEFT JOIN weights y ON (y.doc_id, y.word) = (b.doc_id, b.word) LEFT JOIN weights z ON (z.doc_id, z.word) = (c.doc_id, c.word)
+)"""
+
 DELTA_TERMS = "SELECT term, df FROM terms"
 
 SQL: dict[str, str] = {
@@ -202,5 +218,40 @@ WITH {RUNS}, grams AS (
 WITH {INDEX}, o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS before FROM docs),
 p AS (SELECT doc_id, term, count(*) OVER (PARTITION BY term ORDER BY doc_id) - 1 AS df FROM postings)
 SELECT doc_id, term, df, round(CASE WHEN before > 0 THEN ln(1 + (before + 1) / (df + 1)) ELSE 1 END, 6) AS idf FROM p JOIN o USING (doc_id)""",
+    "keyword_scores": f"""
+WITH {INDEX}, {RUNS}, o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS before FROM docs),
+p AS (SELECT doc_id, term, count(*) OVER (PARTITION BY term ORDER BY doc_id) - 1 AS df FROM postings),
+weights AS (
+  SELECT w.doc_id, w.word, word_score, (0.5 + 0.5 * frequency / max(frequency) OVER (PARTITION BY w.doc_id)) * CASE WHEN before > 0 THEN ln(1 + (before + 1) / (coalesce(df, 0) + 1)) ELSE 1 END AS s
+  FROM word_scores w JOIN o USING (doc_id) LEFT JOIN p ON p.doc_id = w.doc_id AND p.term = w.word
+), {GRAMS}, phrases AS (
+  SELECT doc_id, phrase, max(total) / n * (1 + 0.5 * (n - 1)) * (1 + ln(count(*))) AS rake, max(weight) / n AS tfidf
+  FROM grams GROUP BY doc_id, n, phrase HAVING n = 1 OR count(*) > 1 OR bool_or(whole)
+)
+SELECT doc_id, phrase AS text, round(0.5 * rake / max(rake) OVER (PARTITION BY doc_id) + 0.5 * tfidf / most, 6) AS score
+FROM phrases JOIN (SELECT doc_id, max(s) AS most FROM weights GROUP BY doc_id) USING (doc_id)""",
+    "batch_search": f"""
+WITH {INDEX}, asked AS (
+  SELECT doc_id AS query, surface AS term FROM tok WHERE field = 'title' GROUP BY doc_id, surface QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(position)) <= 2
+), m AS (SELECT query, p.* FROM asked JOIN postings p USING (term)
+), bm AS (
+  SELECT query, doc_id, count(*) AS hits, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * wtf / (1.2 + wtf)) AS bm FROM (
+    SELECT *, 3.0 * len(title) / (0.5 + 0.5 * tl / avg_t) + 1.0 * len(body) / (0.25 + 0.75 * bl / avg_b) AS wtf FROM m JOIN terms USING (term) JOIN lengths USING (doc_id), stats
+  ) GROUP BY query, doc_id
+), spans AS (
+  SELECT query, doc_id, min(abs(x - y)) + 1 AS span
+  FROM (SELECT a.query, a.doc_id, unnest(a.body) AS x, b.body AS other FROM m a JOIN m b ON a.query = b.query AND a.doc_id = b.doc_id AND a.term < b.term), unnest(other) AS t(y) GROUP BY query, doc_id
+), scored AS (
+  SELECT query, doc_id, bm * (0.4 + 0.6 * (hits / asks) ** 2) + coalesce(0.6 * 2 / span, 0) AS score
+  FROM bm JOIN (SELECT query, count(*) AS asks FROM asked GROUP BY query) USING (query) LEFT JOIN spans USING (query, doc_id)
+)
+SELECT query, row_number() OVER w::INTEGER AS rank, doc_id, round(score, 6) AS score FROM scored
+WINDOW w AS (PARTITION BY query ORDER BY score DESC, doc_id::VARCHAR) QUALIFY row_number() OVER w <= 10""",
+    "stored_postings": f"WITH {STORED} SELECT term, doc_id, array_to_string(title, ',') AS title, array_to_string(body, ',') AS body FROM postings",
+    "stored_terms": f"WITH {STORED} SELECT term, df FROM terms",
+    "stored_vocab": f"WITH {STORED} SELECT word, freq, first, len FROM vocab",
+    "stored_stats": f"""
+WITH {STORED} SELECT count(*) AS documents, (SELECT count(*) FROM terms) AS unique_terms, round(sum(tl) / count(*), 2) AS avg_title_length, round(sum(bl) / count(*), 2) AS avg_body_length FROM lengths""",
+    "stored_search": TWO.replace(DOCS, STORED_DOCS) + " SELECT doc_id, round(score, 6) AS score, matched FROM scored",
     "labels_by_tag": _scored(core=["thble"]) + ", each AS (SELECT quality, unnest(tags) AS tag FROM scored JOIN labels USING (doc_id)) SELECT quality, tag, count(*) AS count FROM each GROUP BY ALL",
 }

@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.analysis import raw_words
+from .engine import Engine
+from .functions.analysis import is_indexed, raw_words
 from .operators import index as ix
 from .operators import keywords as kw
 from .operators import search as se
 from .operators import spelling, statistics, suggest
+from .operators.batch import ASKED, search_many
 from .operators.snippets import segments
 from .plans.query import intent_column, parse, parse_table
 from .sources.documents import corpus_of_documents, corpus_of_pages
+from .sources.store import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -258,6 +261,66 @@ def keywords_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kw.keywords(texts, kw.arrival_df(index.documents, index.postings), kw.arrival_counts(index.documents))
 
 
+def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All phrases that keywords are chosen from, with counts as of each document's arrival."""
+    index = _index(spark, sf_dir)
+    found = kw.candidates(_texts(spark, sf_dir), kw.arrival_df(index.documents, index.postings), kw.arrival_counts(index.documents), stemmed=False)
+    return _places(found.select("doc_id", "text", "score"), "score")
+
+
+# --- many queries at once ---------------------------------------------------------------------------------------------
+
+
+def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document the ten best matches of the first two words of its title, in one plan."""
+    index = _index(spark, sf_dir)
+    words = F.slice(F.array_distinct(F.filter(raw_words(F.col("title")), is_indexed)), 1, 2)
+    asked = index.documents.select(F.col("doc_id").alias("query"), F.array_join(words, " ").alias("text")).where("text <> ''")
+    none = {n: F.expr(f"cast(array() AS {ASKED[n].dataType.simpleString()})") for n in ("title_terms", "excluded", "tags", "phrases")}
+    asked = asked.select("query", F.split("text", " ").alias("terms"), *(c.alias(n) for n, c in none.items()), F.expr("cast(map() AS map<string, array<string>>)").alias("expansions"))
+    return _places(search_many(index, asked).select("query", "rank", "doc_id", "score"), "score")
+
+
+# --- a stored index ---------------------------------------------------------------------------------------------------
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> ix.Index:
+    """A stored index after some changes, made once: even and odd documents come apart, each fifth one's body is replaced by its title, and each tenth goes."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = scratch(spark, "stored")
+        engine, docs = Engine(spark, path, stemmed=False), corpus_of_documents(spark, sf_dir)
+        for rest in (0, 1):
+            engine.add(docs.where(F.col("doc_id") % 2 == rest))
+        engine.add(docs.where("doc_id % 5 = 0").withColumn("body", F.col("title")), replace=True)
+        engine.remove_many(docs.where("doc_id % 10 = 0").select("doc_id"))
+        _STORED[key] = path
+    return Engine.open(spark, _STORED[key], stemmed=False).index
+
+
+def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(spark, sf_dir).postings.select("term", "doc_id", F.array_join(F.col("title").cast("array<string>"), ",").alias("title"), F.array_join(F.col("body").cast("array<string>"), ",").alias("body"))
+
+
+def stored_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(spark, sf_dir).terms
+
+
+def stored_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(spark, sf_dir).vocab
+
+
+def stored_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.summary(_changed(spark, sf_dir))
+
+
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = se.score(_changed(spark, sf_dir), parse("thble thanea", stemmed=False))
+    return _places(found.select("doc_id", "score", F.array_join("matched_terms", ",").alias("matched")), "score")
+
+
 def labels_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facets of labelled documents that match a search."""
     found = se.score(_index(spark, sf_dir), parse("thble", stemmed=False)).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
@@ -271,5 +334,6 @@ QUERIES: dict[str, Query] = {
         corpus_stats, incremental_delta_df, delete_then_df, update_then_stats, coverage_score, expansion_search, facets_top20, search_page2, list_documents_page,
         get_document, snippets, parse_query_batch, intent_detection, query_log_popularity, popular_queries_top10, suggest_prefix, suggest_two_words,
         spell_candidates_blocked, spell_best_d1, spell_best, content_runs, rake_word_scores, rake_ngram_scores, keyword_idf_as_of, keywords_topk, labels_by_tag,
+        keyword_scores, batch_search, stored_postings, stored_terms, stored_vocab, stored_stats, stored_search,
     )
 } | {name: _search(name) for name in SEARCHES}
