@@ -114,9 +114,10 @@ class Encoder:
         return (k,) if k is not None else tuple(self.v.bytes_[x] for x in piece.encode())
 
     def words(self, sorted_words: Iterable[str]) -> Iterator[tuple[int, ...]]:
-        """The ids of each word.  ``last``, ``ids`` and ``best`` are the forward states of the prefixes of the word before."""
+        """The ids of each word.  ``last`` and ``best`` are the forward states of the prefixes of the word before: the last piece, from which the
+        pieces before it are found backwards, and the score."""
         merges, one, none = self.v.merges, [1], {}
-        last, ids, best = [""], [()], [0.0]
+        last, best = [""], [0.0]
         before = ""
         for word in sorted_words:
             if merges and word.startswith(MARK * 2):  # pieces of marks alone have equal scores: which merges first depends on place
@@ -125,7 +126,7 @@ class Encoder:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :], ids[shared + 1 :], best[shared + 1 :]
+            del last[shared + 1 :], best[shared + 1 :]
             before = word
             for end in range(shared + 1, len(word) + 1):
                 found = None
@@ -146,9 +147,12 @@ class Encoder:
                         if found is None or score > found[1]:
                             found = piece, score
                 last.append(found[0])
-                ids.append(ids[end - len(found[0])] + self._one(found[0]))
                 best.append(found[1])
-            yield ids[-1]
+            pieces, end = [], len(word)
+            while end:
+                pieces.append(last[end])
+                end -= len(last[end])
+            yield tuple(k for p in reversed(pieces) for k in self._one(p))
 
 
 def _merge_marks(word: str, scores: dict[str, float]) -> list[str]:
