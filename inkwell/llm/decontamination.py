@@ -208,7 +208,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, carry: list[str], text
     The benchmark's size is measured first.  Up to ``limit`` words of it go to the tasks in one automaton; a larger one is dealt
     into automata of about that size by a hash of the item, each a pass over the texts, with results written in between.
     """
-    named = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    named = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
     total = named.agg(F.sum(F.size(F.split("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))).first()[0] or 0
     parts = max(1, -(-total // limit))
     rows, names, text_at = carried(docs, carry, text_col)
