@@ -252,3 +252,34 @@ def test_files_are_smaller_than_their_ids(spark, model):
     tokenbits.save_code(folder, tokenbits.code_lengths(tokenbits.counts_of(table, width)))
     total = work.keep(tokenbits.write_files(table, folder, width), "manifest").agg(F.sum("n_ids").alias("ids"), F.sum("n_bytes").alias("bytes"), F.sum("n_docs").alias("docs")).first()
     assert total.docs == 50 and total.bytes < total.ids * width / 2
+
+
+# --- long words and repeated items ------------------------------------------------------------------------------------
+
+
+def test_a_long_text_without_spaces_takes_linear_memory():
+    import tracemalloc
+
+    from inkwell.llm import pieces
+
+    codec = pieces.Codec(pieces.load())
+    text = "".join(RNG.choices("漢字かなé日本abcDEF+/=", k=60_000))
+    tracemalloc.start()
+    ((ids, at, _, _),) = codec.encode(pa.array([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sentencepiece = pytest.importorskip("sentencepiece")
+    assert ids.tolist() == sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(text)
+    assert peak < 300 << 20
+
+
+def test_repeated_items_take_one_pass(spark, monkeypatch):
+    from inkwell.llm import decontamination
+
+    item = "one two three four five six seven eight nine ten eleven"
+    items = spark.createDataFrame([(1, item)] * 3000 + [(2, "other words")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"so {item} end"), (2, "nothing")], "doc_id bigint, text string")
+    kept = []
+    monkeypatch.setattr(decontamination, "Workspace", lambda *x: kept.append(x))
+    got = {r.row.doc_id: (r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in decontamination.find_contamination(docs, items, ["doc_id"], limit=1000).collect()}
+    assert got == {1: (13, [(1, 12)], ["1"]), 2: (1, [], [])} and not kept

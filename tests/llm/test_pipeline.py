@@ -112,3 +112,24 @@ def test_stages_on_odd_tables(spark):
     kept = {(r.doc_id, (r.text or "")[:2]) for r in docs.collect()}
     assert kept == {(None, "pl"), (1, ""), (2, "w0"), (3, "x ")}
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 4 and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_small_sets_with_distant_fingerprints(spark):
+    """Nine words and the first eight of them have five and four shingles, a similarity of exactly 0.8, and fingerprints as they fall."""
+    rng, texts = np.random.default_rng(9), []
+    for k in range(4000):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 9)]
+        texts += [" ".join(words), " ".join(words[:8])]
+    (chunk,) = jaccard.chunks(pa.array(texts))
+    hashes, rows, _ = jaccard.shingle_sets(chunk)
+    fps = jaccard.fingerprints(hashes, rows)
+    far = np.argsort(-np.bitwise_count(fps[0::2] ^ fps[1::2]).astype(int), kind="stable")[:30]
+    docs = spark.createDataFrame([(2 * i + j, texts[2 * k + j]) for i, k in enumerate(far.tolist()) for j in (0, 1)], "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_copies(docs).collect()}
+    assert got == {k: k // 2 * 2 for k in range(60)}
+
+
+def test_few_shingles_are_linked_by_size():
+    n, links = np.array([4, 5, 70, 63, 79, 200, 300, 90]), simhash.Links()
+    group = jaccard.link_few(n, np.arange(8), links)
+    assert group.tolist() == [0, 0, 2, 2, 2, 5, 6, 7] and links.root(3) == links.root(4) == links.root(2) and links.root(5) == 5
