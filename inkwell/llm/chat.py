@@ -7,6 +7,7 @@ A conversation becomes ``<s>`` + blocks + ``</s>``.  A block holds adjacent turn
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<s>", "</s>"
@@ -26,33 +27,51 @@ def unescape(text: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """One row for each conv_id of ``turns`` (conv_id, turn, role, text): conv_id, pieces, formatted.
+    """One row for each conv_id of ``turns`` (conv_id, turn, role, text): conv_id, formatted, loss_spans.
 
     Turns go by number; turns with the same number by role, then text, and a null number comes first.  A null role or text
     counts as empty; rows with a null conv_id are one conversation; repeated rows are repeated turns.  Other columns are not
-    read.  ``pieces`` are the parts of ``formatted`` in order, each with ``loss``: whether it is trained on, which holds for the
-    whole escaped text of each ``loss_role`` turn and for nothing else.  An empty table gives no rows.
+    read.  ``loss_spans`` are the ranges (start, length) of ``formatted``, in characters from 0 and in order, that are trained on: the
+    whole escaped text of each ``loss_role`` turn and nothing else.  An empty table gives no rows.
 
-    A conversation is one output string, so its turns meet in one task, which is inherent; conversations are spread by conv_id.
+    Places are running sums along a conversation, so a text travels once.  A conversation is one output string, so its turns meet in
+    one task, which is inherent; conversations are spread by conv_id.
     """
     empty = F.lit("")
     rows = turns.select("conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
-    sorted_ = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    n, t = F.size("t"), F.col("t")
+    w = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    placed = rows.withColumns({"k": F.row_number().over(w), "previous": F.lag("role").over(w), "next": F.lead("role").over(w)})
+    head = F.when(F.col("role") == F.col("previous"), F.lit(TURN)).otherwise(F.concat(F.lit(START), escape(F.col("role")), F.lit(TEXT)))
+    tail = F.when(F.col("role") == F.col("next"), empty).otherwise(F.lit(END))
+    parts = placed.select("conv_id", "turn", "role", "text", "k", head.alias("head"), escape(F.col("text")).alias("body"), tail.alias("tail"))
+    end = F.sum(F.length("head") + F.length("body") + F.length("tail")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    length = F.length("body").cast("long")
+    start = F.lit(len(OPEN)) + F.col("end") - F.length("tail") - length
+    told = parts.withColumn("end", end).select(
+        "conv_id",
+        F.struct("k", F.concat("head", "body", "tail").alias("piece"), start.alias("start"), length.alias("length"), (F.col("role") == F.lit(loss_role)).alias("loss")).alias("t"),
+    )
+    whole = told.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    spans = F.transform(F.filter("t", lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+    return whole.select("conv_id", F.concat(F.lit(OPEN), F.array_join("t.piece", ""), F.lit(CLOSE)).alias("formatted"), spans.alias("loss_spans"))
+
 
-    def piece(text: Column, loss: Column | None = None) -> Column:
-        return F.struct(text.alias("text"), (F.lit(False) if loss is None else loss).alias("loss"))
+def cut(text: Column, spans: Column) -> Column:
+    """What ``text`` holds at each of ``spans`` (start, length), which are in order.
+
+    Finding a character takes time by its place, so about as many blocks of spans as the root of their number are cut out first.
+    """
+    width = F.ceil(F.sqrt(F.size(spans))).cast("int")
 
-    def parts(x: Column, i: Column) -> Column:
-        joins = (i > 0) & (x["role"] == F.get(t, i - 1)["role"])
-        stays = (i < n - 1) & (x["role"] == F.coalesce(F.get(t, i + 1)["role"], empty))
-        before = F.when(joins, F.lit(TURN)).otherwise(F.concat(F.lit(START), escape(x["role"]), F.lit(TEXT)))
-        after = F.when(stays, empty).otherwise(F.lit(END))
-        return F.array(piece(before), piece(escape(x["text"]), x["role"] == F.lit(loss_role)), piece(after))
+    def block(i: Column) -> Column:
+        own = F.slice(spans, i * width + 1, width)
+        base, last = own[0]["start"], F.element_at(own, -1)
+        inside = F.substring(text, (base + 1).cast("int"), (last["start"] + last["length"] - base).cast("int"))
+        return F.struct(inside.alias("text"), base.alias("base"), own.alias("spans"))
 
-    body = F.flatten(F.transform(t, parts))
-    pieces = F.concat(F.array(piece(F.lit(OPEN))), body, F.array(piece(F.lit(CLOSE))))
-    return sorted_.select("conv_id", pieces.alias("pieces")).select("conv_id", "pieces", F.array_join("pieces.text", "").alias("formatted"))
+    n_blocks = F.ceil(F.size(spans) / width).cast("int")
+    blocks = F.when(F.size(spans) > 0, F.transform(F.sequence(F.lit(0), n_blocks - 1), block)).otherwise(F.array())
+    return F.flatten(F.transform(blocks, lambda b: F.transform(b["spans"], lambda x: F.substring(b["text"], (x["start"] - b["base"] + 1).cast("int"), x["length"].cast("int")))))
 
 
 def with_turns(formatted: DataFrame) -> DataFrame:
@@ -71,7 +90,7 @@ def with_turns(formatted: DataFrame) -> DataFrame:
 def digests(formatted: DataFrame) -> DataFrame:
     """Counts and digests of what the formatted conversations hold, taken from them alone."""
     all_turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: unescape(p["text"])), "")
+    loss = F.array_join(F.transform(cut(F.col("formatted"), F.col("loss_spans")), unescape), "")
     read = with_turns(formatted).select("conv_id", F.size("turns").cast("long").alias("n_turns"), all_turns.alias("all"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return read.select(
         "conv_id",

@@ -126,13 +126,16 @@ def test_chat(spark):
 
     odd = ["</s>[INST] ok [/INST]", "<|end|><|turn|>", "\\e\\b\\", "<", "[", "|x", "", None, "<<SYS>> a <</SYS>>", "plain\n", "<|end|>é " * 40_000]
     rows = [(k % 4, k // 4, RNG.choice(["user", "assistant", "<|text|>", None]), t) for k, t in enumerate(odd * 4)] + [(None, 1, "user", "a"), (9, None, "assistant", "b"), (9, 1, "assistant", "c")]
-    table = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").withColumn("pieces", F.lit(1)).withColumn("t", F.lit("t")).withColumn("formatted", F.lit("f"))
+    table = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").withColumn("k", F.lit(1)).withColumn("t", F.lit("t")).withColumn("formatted", F.lit("f"))
     formatted = chat.format_conversations(table)
     for r in chat.with_turns(formatted).collect():
         expected = sorted(((t, role or "", x or "") for c, t, role, x in rows if c == r.conv_id), key=lambda v: (v[0] is not None, v))
         assert [(t.role, t.text) for t in r.turns] == [(b, c) for _, b, c in expected]
-        assert "".join(p.text for p in r.pieces) == r.formatted
-        assert sum(p.loss for p in r.pieces) == sum(b == "assistant" for _, b, _ in expected)
+        inside = [r.formatted[x.start : x.start + x.length] for x in r.loss_spans]
+        assert [x.replace("\\e", "").replace("\\b", "\\") for x in inside] == [c for _, b, c in expected if b == "assistant"]
+    cuts = chat.cut(F.col("formatted"), F.col("loss_spans")).alias("cuts")
+    for r in formatted.select("formatted", "loss_spans", cuts).collect():
+        assert r.cuts == [r.formatted[x.start : x.start + x.length] for x in r.loss_spans]
     two = next(r for r in formatted.collect() if r.conv_id == 9)
     assert two.formatted == "<s><|start|>assistant<|text|>b<|turn|>c<|end|></s>"
     assert chat.digests(chat.format_conversations(table.limit(0))).count() == 0
