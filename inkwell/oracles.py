@@ -202,6 +202,20 @@ SELECT row_number() OVER (ORDER BY freq DESC, word)::INTEGER AS k, 'thing ' || w
 WITH {INDEX}, {CANDIDATES}, d AS (
   SELECT *, damerau_levenshtein(word, candidate) AS distance FROM near WHERE candidate <> word AND length(word) BETWEEN 4 AND 6
 ) SELECT word, arg_min(candidate, (distance, -freq, candidate)) AS correction, min(distance)::INTEGER AS distance FROM d WHERE distance <= 1 GROUP BY word""",
+    "spell_log": f"""
+WITH {INDEX}, asked AS (
+  SELECT DISTINCT unnest(regexp_extract_all(lower(strip_accents(text)), {RX})) AS word FROM conversations WHERE role = 'user'
+), near AS (
+  SELECT q.word, v.word AS candidate, freq FROM asked q JOIN vocab v ON v.first IN (q.word[1], q.word[2]) AND v.len BETWEEN length(q.word) - 2 AND length(q.word) + 2
+  WHERE q.word NOT IN (SELECT word FROM vocab) AND length(q.word) > 3
+  QUALIFY row_number() OVER (PARTITION BY q.word ORDER BY freq DESC, v.word) <= 5000
+), d AS (
+  SELECT *, damerau_levenshtein(word, candidate) AS distance, length(candidate) - length(word) AS more FROM near
+), apart AS ( -- a letter that comes or goes between two that are swapped is a third edit
+  SELECT * FROM d WHERE distance <= CASE WHEN length(word) <= 6 THEN 1 ELSE 2 END AND (distance < 2 OR more = 0 OR levenshtein(word, candidate) < 3 OR len(list_filter(range(1, length(word)), lambda i:
+    (word[1:i - 1] = candidate[1:i - 1] AND candidate[i] = word[i + 1] AND candidate[i + 1] = word[i] AND levenshtein(word[i + 2:], candidate[i + 2:]) = 1)
+    OR (word[i + 2:] = candidate[i + 2 + more:] AND candidate[i + more] = word[i + 1] AND candidate[i + 1 + more] = word[i] AND levenshtein(word[1:i - 1], candidate[1:i - 1 + more]) = 1))) > 0)
+) SELECT word, arg_min(candidate, (distance, -freq, candidate)) AS correction, min(distance)::INTEGER AS distance FROM apart GROUP BY word""",
     "content_runs": f"""
 WITH {RUNS} SELECT doc_id, count(*) AS runs, sum(n)::BIGINT AS words, max(n) AS longest FROM (SELECT doc_id, f, island, count(*) AS n FROM runs GROUP BY ALL) GROUP BY doc_id""",
     "rake_word_scores": f"WITH {RUNS} SELECT doc_id, word, frequency, degree, round(word_score, 6) AS word_score FROM word_scores",

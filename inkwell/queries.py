@@ -228,6 +228,14 @@ def spell_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.corrections(_misspelt(spark), _index(spark, sf_dir).vocab)
 
 
+def spell_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word that users ask for and no document has, corrected."""
+    vocab = _index(spark, sf_dir).vocab
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
+    words = turns.select(F.explode_outer(raw_words(F.col("text"))).alias("word")).where("word IS NOT NULL").distinct()
+    return spelling.corrections(words.join(vocab, "word", "left_anti"), vocab)
+
+
 # --- keywords ---------------------------------------------------------------------------------------------------------
 
 
@@ -333,7 +341,7 @@ QUERIES: dict[str, Query] = {
         tokens_by_doc, token_positions, raw_word_counts, identifier_terms, page_word_counts, stem_terms, vocab_freq, vocab_top_words, term_df, postings_positions,
         corpus_stats, incremental_delta_df, delete_then_df, update_then_stats, coverage_score, expansion_search, facets_top20, search_page2, list_documents_page,
         get_document, snippets, parse_query_batch, intent_detection, query_log_popularity, popular_queries_top10, suggest_prefix, suggest_two_words,
-        spell_candidates_blocked, spell_best_d1, spell_best, content_runs, rake_word_scores, rake_ngram_scores, keyword_idf_as_of, keywords_topk, labels_by_tag,
+        spell_candidates_blocked, spell_best_d1, spell_best, spell_log, content_runs, rake_word_scores, rake_ngram_scores, keyword_idf_as_of, keywords_topk, labels_by_tag,
         keyword_scores, batch_search, stored_postings, stored_terms, stored_vocab, stored_stats, stored_search,
     )
 } | {name: _search(name) for name in SEARCHES}

@@ -164,6 +164,46 @@ def test_corrections_equal_brute_force(spark):
     assert got == wanted and any(len(a) > 6 and d == 2 for a, (_, d) in wanted.items())
 
 
+def test_corrections_of_long_words(spark):
+    rng = random.Random(8)
+    words = {"".join(rng.choices("abcdé", k=rng.randint(19, 34))) for _ in range(40)}
+    asked = set()
+    for w in sorted(words):
+        for _ in range(3):
+            x = list(w)
+            for _ in range(rng.randint(1, 2)):
+                k = rng.randrange(2, len(x) - 1)
+                x[k : k + 2] = rng.choice([[x[k + 1], x[k]], [x[k]], ["a", x[k], x[k + 1]], ["e", x[k + 1]]])
+            asked.add("".join(x))
+    freq = {w: rng.randint(1, 4) for w in words}
+    vocab = spark.createDataFrame([(w, n, w[0], len(w)) for w, n in freq.items()], "word string, freq bigint, first string, len int")
+    wanted = {}
+    for a in asked:
+        near = [(distance(a, w), -freq[w], w) for w in words if w != a and w[0] in a[:2] and abs(len(w) - len(a)) <= 2]
+        if near := [x for x in near if x[0] <= 2]:
+            wanted[a] = (min(near)[2], min(near)[0])
+    got = {r.word: (r.correction, r.distance) for r in corrections(spark.createDataFrame([(a,) for a in asked] * 2 + [(None,), ("",)], "word string"), vocab).collect()}
+    assert got == wanted and len(wanted) > 60
+
+
+def test_corrections_look_at_the_most_frequent(spark, monkeypatch):
+    from inkwell.operators import spelling
+
+    monkeypatch.setattr(spelling, "SPELLING_CANDIDATES", 7)
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choices("ab", k=rng.randint(4, 9))) for _ in range(90)})
+    vocab = spark.createDataFrame([(w, rng.randint(1, 3), w[0], len(w)) for w in words], "word string, freq bigint, first string, len int")
+    asked = spark.createDataFrame([("".join(rng.choices("ab", k=rng.randint(4, 9))),) for _ in range(40)], "word string").distinct()
+    looked = spelling.candidates(asked, vocab).collect()
+    wanted = {}
+    for r in looked:
+        d = distance(r.word, r.candidate)
+        if r.word != r.candidate and d <= (1 if len(r.word) <= 6 else 2):
+            wanted[r.word] = min(wanted.get(r.word, (9,)), (d, -r.freq, r.candidate))
+    got = {r.word: (r.distance, r.correction) for r in spelling.corrections(asked, vocab).collect()}
+    assert got == {w: (d, c) for w, (d, _, c) in wanted.items()} and got
+
+
 def test_json_in_both_shapes(spark, tmp_path):
     docs = [{"title": "A", "body": "x"}, {"title": "B", "tags": ["t"]}]
     (tmp_path / "a.json").write_text(json.dumps(docs))
