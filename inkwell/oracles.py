@@ -197,6 +197,9 @@ SELECT row_number() OVER (ORDER BY o)::INTEGER AS k, s AS suggestion FROM u ORDE
     "suggest_two_words": f"""
 WITH {INDEX}, v AS (SELECT word, freq FROM vocab WHERE starts_with(word, 'tha') ORDER BY freq DESC, word LIMIT 24)
 SELECT row_number() OVER (ORDER BY freq DESC, word)::INTEGER AS k, 'thing ' || word AS suggestion FROM v WHERE word NOT IN {STOP} ORDER BY freq DESC, word LIMIT 8""",
+    "prefix_table": f"""
+WITH {LOG} SELECT query[1:n] AS prefix, query, count FROM log, unnest(range(0, least(length(query), 16) + 1)) AS t(n)
+QUALIFY row_number() OVER (PARTITION BY query[1:n] ORDER BY count DESC, query) <= 20""",
     "spell_candidates_blocked": f"WITH {INDEX}, {CANDIDATES} SELECT * FROM near",
     "spell_best_d1": f"""
 WITH {INDEX}, {CANDIDATES}, d AS (

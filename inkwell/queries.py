@@ -203,6 +203,11 @@ def popular_queries_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest.popular(_log(spark, sf_dir))
 
 
+def prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent queries of every prefix."""
+    return suggest.prefix_table(_log(spark, sf_dir))
+
+
 def suggest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest.suggestions(_log(spark, sf_dir), _index(spark, sf_dir).vocab, "p").select("k", "suggestion")
 
@@ -340,7 +345,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         tokens_by_doc, token_positions, raw_word_counts, identifier_terms, page_word_counts, stem_terms, vocab_freq, vocab_top_words, term_df, postings_positions,
         corpus_stats, incremental_delta_df, delete_then_df, update_then_stats, coverage_score, expansion_search, facets_top20, search_page2, list_documents_page,
-        get_document, snippets, parse_query_batch, intent_detection, query_log_popularity, popular_queries_top10, suggest_prefix, suggest_two_words,
+        get_document, snippets, parse_query_batch, intent_detection, query_log_popularity, popular_queries_top10, prefix_table, suggest_prefix, suggest_two_words,
         spell_candidates_blocked, spell_best_d1, spell_best, spell_log, content_runs, rake_word_scores, rake_ngram_scores, keyword_idf_as_of, keywords_topk, labels_by_tag,
         keyword_scores, batch_search, stored_postings, stored_terms, stored_vocab, stored_stats, stored_search,
     )

@@ -8,6 +8,7 @@ import pytest
 
 from inkwell.engine import Engine, NotFound
 from inkwell.functions import shown
+from inkwell.operators import suggest
 from inkwell.operators.index import build_index, change_index
 from inkwell.operators.keywords import keywords
 from inkwell.operators.snippets import segments
@@ -89,6 +90,49 @@ def test_log_suggestions_and_stats(spark, engine):
     assert stats["documents"] == len(CORPUS) and stats["popular_queries"] == [{"query": "neural networks", "count": 1}]
 
 
+def test_the_log_is_kept_as_counts(spark, tmp_path):
+    rng = random.Random(5)
+    path = f"file://{tmp_path}/log"
+    engines = [Engine(spark, path), Engine(spark, path)]
+    texts = [f"{a} {b}" for a in ("deep", "deeper", "data") for b in [*"abcdefgh", "a rather long name of a thing"]]
+    asked = []
+    for step in range(4):
+        for _ in range(12):
+            asked.append(rng.choice(texts[step * 6 :] + texts[:3]))
+            rng.choice(engines)._log(asked[-1].upper(), len(asked))
+        for limit in (2, 5, 30):
+            for prefix in ("", "d", "deep", "deep a rather lon", "deep a rather lo", "data a rather long"):
+                want = sorted(((-asked.count(t), t) for t in set(asked) if t.startswith(prefix)))[:limit]
+                tables = engines[1]._log_tables()
+                got = suggest.matching(*tables, prefix, limit).orderBy("count", "query").collect()
+                assert sorted((-r["count"], r.query) for r in got)[:limit] == want
+        if step < 3:
+            engines[step % 2].compact_log()
+        assert len(engines[0].store.names("asked")) <= 24  # older single searches go
+    log = {r.query: r for r in engines[0].log.collect()}
+    assert {q: r["count"] for q, r in log.items()} == {t: asked.count(t) for t in asked}
+    assert all(r.last_results == max(k + 1 for k, t in enumerate(asked) if t == q) and r.last_at is not None for q, r in log.items())
+
+
+def test_two_engines_add_up_the_log_at_once(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/log"
+    one, two = Engine(spark, path), Engine(spark, path)
+    one._log("alpha", 1)
+    build, calls = suggest.prefix_table, []
+
+    def late(log):
+        if not calls:
+            calls.append(1)
+            two._log("beta", 1)
+            two.compact_log()
+        return build(log)
+
+    monkeypatch.setattr(suggest, "prefix_table", late)
+    one.compact_log()
+    assert {r.query: r["count"] for r in one.log.collect()} == {"alpha": 1, "beta": 1}
+    assert {r.query: r["count"] for r in suggest.matching(*two._log_tables(), "", 5).collect()} == {"alpha": 1, "beta": 1}
+
+
 def test_analysis(engine):
     found = engine.analyze_query('what is "deep learning" -python')
     assert found["phrases"] == ["deep learning"] and found["excluded"] == ["python"]
