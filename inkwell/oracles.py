@@ -200,6 +200,27 @@ SELECT row_number() OVER (ORDER BY freq DESC, word)::INTEGER AS k, 'thing ' || w
     "prefix_table": f"""
 WITH {LOG} SELECT query[1:n] AS prefix, query, count FROM log, unnest(range(0, least(length(query), 16) + 1)) AS t(n)
 QUALIFY row_number() OVER (PARTITION BY query[1:n] ORDER BY count DESC, query) <= 20""",
+    "match_snippets": f"""
+WITH {DOCS}, split AS (
+  SELECT doc_id, regexp_extract_all(body, '\\S+') AS words, regexp_split_to_array(body, '\\S+') AS gaps FROM docs
+), at_word AS (
+  SELECT doc_id, words[k] AS word, k - 1 AS place, regexp_extract_all(lower(strip_accents(words[k])), {RX}) AS t, regexp_split_to_array(lower(strip_accents(words[k])), {RX}) AS g
+  FROM split, unnest(range(1, len(words) + 1)) AS u(k)
+), hits AS (SELECT doc_id, place, term FROM (SELECT doc_id, place, unnest(t) AS term FROM at_word) WHERE term IN ('thble', 'thanea')
+), weighed AS (
+  SELECT doc_id, a.place, count(DISTINCT h.term) + 0.1 * count(*) AS weight FROM (SELECT DISTINCT doc_id, place FROM hits) a JOIN hits h USING (doc_id) WHERE h.place BETWEEN a.place AND a.place + 31 GROUP BY doc_id, a.place, a.doc_id
+), best AS (SELECT doc_id, arg_max(place, (weight, -place)) AS hit FROM weighed GROUP BY doc_id
+), windows AS (
+  SELECT doc_id, gaps, len(words) AS n, CASE WHEN len(words) <= 32 THEN 0 ELSE greatest(0, least(hit - 4, len(words) - 32)) END AS b FROM best JOIN split USING (doc_id)
+), marked AS (
+  SELECT doc_id, place, list_reduce(list_prepend('', list_transform(range(1, len(g) + 1), lambda j:
+    word[list_sum(list_transform(g[1:j], lambda x: length(x))) - length(g[j]) + coalesce(list_sum(list_transform(t[1:j - 1], lambda x: length(x))), 0) + 1 : list_sum(list_transform(g[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(t[1:j - 1], lambda x: length(x))), 0)]
+    || CASE WHEN j > len(t) THEN '' WHEN t[j] IN ('thble', 'thanea') THEN '[' || word[list_sum(list_transform(g[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(t[1:j - 1], lambda x: length(x))), 0) + 1 : list_sum(list_transform(g[1:j], lambda x: length(x))) + list_sum(list_transform(t[1:j], lambda x: length(x)))] || ']'
+      ELSE word[list_sum(list_transform(g[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(t[1:j - 1], lambda x: length(x))), 0) + 1 : list_sum(list_transform(g[1:j], lambda x: length(x))) + list_sum(list_transform(t[1:j], lambda x: length(x)))] END)), lambda x, y: x || y) AS word
+  FROM at_word WHERE doc_id IN (SELECT doc_id FROM best)
+) SELECT doc_id, CASE WHEN any_value(b) > 0 THEN '… ' ELSE '' END || string_agg(CASE WHEN place > b THEN gaps[place + 1] ELSE '' END || word, '' ORDER BY place)
+  || CASE WHEN any_value(b) + 32 < any_value(n) THEN ' …' ELSE '' END AS snippet
+FROM windows JOIN marked USING (doc_id) WHERE place >= b AND place < b + 32 GROUP BY doc_id""",
     "spell_candidates_blocked": f"WITH {INDEX}, {CANDIDATES} SELECT * FROM near",
     "spell_best_d1": f"""
 WITH {INDEX}, {CANDIDATES}, d AS (

@@ -14,7 +14,8 @@ from .operators import keywords as kw
 from .operators import search as se
 from .operators import spelling, statistics, suggest
 from .operators.batch import ASKED, search_many
-from .operators.snippets import segments
+from .operators.snippets import passages
+from .plans.query import Query as ParsedQuery
 from .plans.query import intent_column, parse, parse_table
 from .sources.documents import corpus_of_documents, corpus_of_pages
 from .sources.store import scratch
@@ -163,18 +164,25 @@ def get_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).documents.where("doc_id = 7").select("doc_id", "title", "body", F.array_join("tags", ",").alias("tags"))
 
 
+def _terms(spark: SparkSession, q: ParsedQuery) -> DataFrame:
+    return spark.createDataFrame([(t,) for t in (*q.positive, *q.expansion_terms)], "term string")
+
+
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of the ten best documents."""
     index = _index(spark, sf_dir)
     q = parse("thble thanea", stemmed=False)
     page = se.top(se.score(index, q)).select("rank", "doc_id").join(index.documents.select("doc_id", "body"), "doc_id")
-    terms = {*q.positive, *q.expansion_terms}
+    return page.select("rank", "doc_id").join(passages(page.select("doc_id", F.col("body").alias("text")), _terms(spark, q), ["doc_id"], stemmed=False), "doc_id").select("rank", "doc_id", "snippet")
 
-    @F.udf("array<struct<text: string, highlight: boolean>>")
-    def passage(body: str) -> list[dict]:
-        return segments(body, terms, stemmed=False)
 
-    return page.select("rank", "doc_id", passage("body").alias("snippet"))
+def match_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all matches of a search, with brackets for highlights."""
+    index = _index(spark, sf_dir)
+    q = parse("thble thanea", stemmed=False)
+    found = se.score(index, q).select("doc_id").join(index.documents.select("doc_id", F.col("body").alias("text")), "doc_id")
+    parts = F.transform("snippet", lambda x: F.when(x["highlight"], F.concat(F.lit("["), x["text"], F.lit("]"))).otherwise(x["text"]))
+    return passages(found, _terms(spark, q), ["doc_id"], stemmed=False).select("doc_id", F.array_join(parts, "").alias("snippet"))
 
 
 def parse_query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,7 +353,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         tokens_by_doc, token_positions, raw_word_counts, identifier_terms, page_word_counts, stem_terms, vocab_freq, vocab_top_words, term_df, postings_positions,
         corpus_stats, incremental_delta_df, delete_then_df, update_then_stats, coverage_score, expansion_search, facets_top20, search_page2, list_documents_page,
-        get_document, snippets, parse_query_batch, intent_detection, query_log_popularity, popular_queries_top10, prefix_table, suggest_prefix, suggest_two_words,
+        get_document, snippets, match_snippets, parse_query_batch, intent_detection, query_log_popularity, popular_queries_top10, prefix_table, suggest_prefix, suggest_two_words,
         spell_candidates_blocked, spell_best_d1, spell_best, spell_log, content_runs, rake_word_scores, rake_ngram_scores, keyword_idf_as_of, keywords_topk, labels_by_tag,
         keyword_scores, batch_search, stored_postings, stored_terms, stored_vocab, stored_stats, stored_search,
     )

@@ -11,7 +11,7 @@ from inkwell.functions import shown
 from inkwell.operators import suggest
 from inkwell.operators.index import build_index, change_index
 from inkwell.operators.keywords import keywords
-from inkwell.operators.snippets import segments
+from inkwell.operators.snippets import passages, segments
 from inkwell.operators.spelling import corrections
 from inkwell.sources.documents import read_json, validated
 from inkwell.streaming.ingest import ingest, search_counts
@@ -185,6 +185,23 @@ def test_snippet():
     assert segments("", {"x"}) == segments(None, {"x"}) == []
 
 
+def test_passages_equal_segments(spark):
+    rng = random.Random(11)
+    words = ["data", "Data,", "(index)", "e\u0301te\u0301", "été", "ﬁlm", "the", "x", "node.js", "c++", "½", "data-set", "a½b", "data/index;film", "汉字", "e\u0301", "index\u0301.", "1", "—"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 90))) for _ in range(60)]
+    texts += [None, "", "  ", "\n data\xa0index\tdata\u2003film \x1c été ", "data,index;" * 300, "x " * 40 + "data " + "y " * 40, " ".join(["word"] * 50)]
+    table = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for terms in ({"data", "index", "film", "ete"}, {"node.js", "c++", "data-set", "1"}, set()):
+        wanted = spark.createDataFrame([(t,) for t in terms], "term string")
+        got = {r.id: [(p.text, p.highlight) for p in r.snippet] for r in passages(table, wanted, ["id"], stemmed=False).collect()}
+        for k, t in enumerate(texts):
+            assert got[k] == [(p["text"], p["highlight"]) for p in segments(t, terms, stemmed=False)], (k, t)
+    asked = spark.createDataFrame([(0, "data"), (1, "index")], "id int, term string")  # terms of each row
+    got = {r.id: [p.text for p in r.snippet if p.highlight] for r in passages(table, asked, ["id"], stemmed=False).collect()}
+    for k, term in ((0, {"data"}), (1, {"index"}), (2, set())):
+        assert got[k] == [p["text"] for p in segments(texts[k], term, stemmed=False) if p["highlight"]]
+
+
 def test_corrections(spark):
     vocab = spark.createDataFrame([("search", 5, "s", 6), ("seraph", 1, "s", 6), ("car", 3, "c", 3)], "word string, freq bigint, first string, len int")
     words = spark.createDataFrame([("serach",), ("cat",), ("search",)], "word string")
