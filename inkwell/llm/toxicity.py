@@ -35,6 +35,8 @@ TRAIN_CHARS = 20_000
 """Longer documents are scored, but not fitted on."""
 PER_DOC = 2
 """Words of a toxic document that count as toxic in training."""
+PART = 128
+"""Documents that are folded and hashed at once in training: numbers of a word take far more memory than its text."""
 ROUNDS = 5
 TRAIN_WORDS = 12_000
 """Clean words fitted on at random, and half as many that the round before took for the most toxic."""
@@ -310,7 +312,8 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         half[labels == c] = np.arange((labels == c).sum()) % 2 == 0
 
     def parts(which: np.ndarray) -> list[Units]:
-        return [units(c) for c in chunks(pa.array([texts[k] for k in np.flatnonzero(which)], pa.large_string()))]
+        own = np.flatnonzero(which).tolist()
+        return [units(c) for lo in range(0, len(own), PART) for c in chunks(pa.array([texts[k] for k in own[lo : lo + PART]], pa.large_string()))]
 
     m, y = [], []
     for own in (half, ~half):

@@ -133,3 +133,16 @@ def test_few_shingles_are_linked_by_size():
     n, links = np.array([4, 5, 70, 63, 79, 200, 300, 90]), simhash.Links()
     group = jaccard.link_few(n, np.arange(8), links)
     assert group.tolist() == [0, 0, 2, 2, 2, 5, 6, 7] and links.root(3) == links.root(4) == links.root(2) and links.root(5) == 5
+
+
+def test_only_wanted_texts_are_dealt(spark, tmp_path):
+    """Of many texts a task sends those few on that are wanted, and the join keeps exactly these."""
+    texts = [" ".join(f"w{k}x{j}" for j in range(9)) for k in range(3000)]
+    keys = jaccard.set_keys(pa.array(texts))
+    wanted = spark.createDataFrame([(int(k),) for k in keys[::500]] * 2, "key bigint")
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    sent = [k for b in jaccard._fresh_texts(jaccard._key_map(wanted))(iter([batch, batch])) for k in b.column(0).to_pylist()]
+    assert set(keys[::500].tolist()) <= set(sent) and len(sent) <= 10
+    docs = spark.createDataFrame([(t,) for t in texts + texts[:600]], "text string").repartition(3)
+    work = jaccard.Workspace(spark, "wanted")
+    assert sorted((r.key, r.text) for r in jaccard._texts_of(wanted, docs, work, "some").collect()) == sorted(zip(keys[::500].tolist(), texts[::500], strict=True))
