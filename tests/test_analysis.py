@@ -110,3 +110,22 @@ def test_min_span(spark):
 def test_parsing_never_fails(text):
     q = parse(text)
     assert len(q.terms) == len(q.keywords) == len(set(q.terms))
+
+
+def test_postings_are_made_without_moving_rows(spark):
+    """A document's words are grouped where it is read, and a few terms' postings equal those among all."""
+    from inkwell.operators import index as ix
+
+    rows = [(1, "Straße ½ cups", "the Ünïcode ﬁt don't 7 a thble, thbles thble."), (2, "", "thble\n" * 3), (3, "x", "Ⅳ K K…"), (4, None, None)]
+    docs = ix.prepared(spark.createDataFrame(rows, "doc_id bigint, title string, body string").selectExpr("*", "array('t') tags"))
+    for stemmed in (False, True):
+        made = ix.postings_of(docs, stemmed)
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        every = sorted(map(tuple, made.collect()))
+        some = sorted(map(tuple, ix.postings_of(docs, stemmed, ["thble", "unicode"]).collect()))
+        assert some == [r for r in every if r[0] in ("thble", "unicode")] and len(some) == (2 if stemmed else 3)
+    slow = ix.tokens_of(docs).groupBy("doc_id", "surface", "field").agg({"position": "collect_list"}).collect()
+    fast = {(r.doc_id, r.term, f): r[f] for r in ix.postings_of(docs, False).collect() for f in ("title", "body") if r[f]}
+    assert fast == {(r[0], r[1], r[2]): sorted(r[3]) for r in slow}
+    lengths = {r.doc_id: r.title_len + r.body_len for r in docs.collect()}
+    assert lengths == {k: sum(len(v) for (d, _, _), v in fast.items() if d == k) for k in range(1, 5)}
