@@ -129,3 +129,17 @@ def test_postings_are_made_without_moving_rows(spark):
     assert fast == {(r[0], r[1], r[2]): sorted(r[3]) for r in slow}
     lengths = {r.doc_id: r.title_len + r.body_len for r in docs.collect()}
     assert lengths == {k: sum(len(v) for (d, _, _), v in fast.items() if d == k) for k in range(1, 5)}
+
+
+def test_phrases_are_scored_without_moving_rows(spark):
+    """A text's runs, words and phrases are counted in the task that reads it; only its known terms are gathered."""
+    from inkwell.operators import keywords as kw
+
+    texts = spark.createDataFrame([(1, "Red apple pie. Red apple pie, 42 the apple - tart"), (2, ""), (3, None), (4, "solo")], "doc_id bigint, text string").coalesce(1)
+    for made in (kw.content_runs(texts), kw.word_scores(texts), kw.rake(texts), kw.candidates(texts), kw.keywords(texts)):
+        assert "hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+    runs = sorted((r.doc_id, r.run, r.k, r.run_len, r.word) for r in kw.content_runs(texts).collect())
+    assert runs == [(1, r, k, len(w), x) for r, w in enumerate((["red", "apple", "pie"], ["red", "apple", "pie"], ["apple"], ["tart"])) for k, x in enumerate(w)] + [(4, 0, 0, 1, "solo")]
+    assert {(r.word, r.frequency, r.degree) for r in kw.word_scores(texts).collect()} == {("red", 2, 4), ("apple", 3, 4), ("pie", 2, 4), ("tart", 1, 0), ("solo", 1, 0)}
+    assert {r.phrase for r in kw.rake(texts).where("doc_id = 1").collect()} == {"red", "apple", "pie", "tart", "red apple", "apple pie", "red apple pie"}
+    assert {r.doc_id: r.keywords[0].text for r in kw.keywords(texts, stemmed=False).collect()} == {1: "red apple pie", 4: "solo"}
