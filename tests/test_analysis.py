@@ -143,3 +143,14 @@ def test_phrases_are_scored_without_moving_rows(spark):
     assert {(r.word, r.frequency, r.degree) for r in kw.word_scores(texts).collect()} == {("red", 2, 4), ("apple", 3, 4), ("pie", 2, 4), ("tart", 1, 0), ("solo", 1, 0)}
     assert {r.phrase for r in kw.rake(texts).where("doc_id = 1").collect()} == {"red", "apple", "pie", "tart", "red apple", "apple pie", "red apple pie"}
     assert {r.doc_id: r.keywords[0].text for r in kw.keywords(texts, stemmed=False).collect()} == {1: "red apple pie", 4: "solo"}
+
+
+def test_arrivals_of_postings_with_seq_need_no_documents(spark):
+    from inkwell.operators import index as ix
+    from inkwell.operators import keywords as kw
+
+    docs = ix.prepared(spark.createDataFrame([(k, 9 - k, "t", f"a b{k % 3} c{k}") for k in range(9)], "doc_id bigint, seq bigint, title string, body string").selectExpr("*", "array('t') tags"))
+    joined = kw.arrival_df(docs, ix.postings_of(docs, False))
+    alone = kw.arrival_df(docs, ix.postings_of(docs, False, more=("seq",)))
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, joined.collect()))
+    assert "hashpartitioning(doc_id" not in alone._jdf.queryExecution().executedPlan().toString()
