@@ -1,10 +1,16 @@
-"""Ranked search for a table of queries, as one plan: query terms are joined with postings, and each query's best documents are kept."""
+"""Ranked search for a table of queries, as one plan: query terms are joined with postings, and each query's best documents are kept.
+
+Queries of one or two words are met by block of documents: each distinct one once, and only its best of a block leave the task.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +18,8 @@ from pyspark.sql import types as T
 
 from ..functions import lexicon as lx
 from ..plans.query import parse
-from .index import Index
+from ..sources.store import Kept
+from .index import Index, postings_of
 from .search import idf, min_span
 
 _STRINGS = T.ArrayType(T.StringType())
@@ -114,8 +121,165 @@ def score_many(index: Index, queries: DataFrame, key: str = "query") -> DataFram
     return scored.withColumnRenamed("_query", key)
 
 
+# --- queries of one or two words --------------------------------------------------------------------------------------
+
+BLOCK = 1 << 15
+"""Documents, about, whose postings meet in one task."""
+CHUNK = 1 << 20
+"""Distinct queries, about, that meet a block in one task."""
+FOUND = "a string, b string, doc_id bigint, score double, met int"
+_NONE = np.zeros(0, np.int64)
+
+
+def _nearest(at: np.ndarray, n: np.ndarray, places: np.ndarray, other_at: np.ndarray, other_n: np.ndarray) -> np.ndarray:
+    """For each k: the fewest words that hold one of places[at[k]:][:n[k]] and one of places[other_at[k]:][:other_n[k]]; inf if either is empty."""
+    starts, sizes = np.concatenate([at, other_at]), np.concatenate([n, other_n])
+    each = np.repeat(np.arange(len(starts)), sizes)
+    own = each % len(at)
+    value = places[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(each))]
+    order = np.lexsort((value, own))
+    own, value, side = own[order], value[order], (each >= len(at))[order]
+    next_to = np.flatnonzero((own[1:] == own[:-1]) & (side[1:] != side[:-1]))  # the nearest two stand side by side
+    out = np.full(len(at), np.inf)
+    np.minimum.at(out, own[next_to], value[next_to + 1] - value[next_to] + 1)
+    return out
+
+
+def _best_of_block(size: int):
+    """(term, doc_id, tf, body) of a block of documents and (a, b, idf_a, idf_b), of which b may be null, to FOUND: each query's ``size`` best."""
+    part = [lx.COVERAGE_FLOOR + (1 - lx.COVERAGE_FLOOR) * (met / 2) ** 2 for met in (1, 2)]
+
+    def run(postings: pa.Table, queries: pa.Table) -> pa.Table:
+        term = postings["term"].combine_chunks().dictionary_encode()
+        ids, doc = np.unique(postings["doc_id"].to_numpy(), return_inverse=True)
+        rank = np.argsort(np.argsort(ids.astype(str)))  # ties go by the id as text
+        code = term.indices.to_numpy()
+        order = np.lexsort((doc, code))
+        doc, tf = doc[order], postings["tf"].to_numpy()[order]
+        starts = np.searchsorted(code[order], np.arange(len(term.dictionary) + 1))
+        body = postings["body"].combine_chunks()
+        ends = body.offsets.to_numpy().astype(np.int64)
+        at, many, places = ends[:-1][order], np.diff(ends)[order], body.values.to_numpy()
+        a, b = (pc.index_in(queries[x].combine_chunks(), term.dictionary).fill_null(-1).to_numpy() for x in "ab")
+        single = queries["b"].combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        idf_a, idf_b = (queries[x].to_numpy() for x in ("idf_a", "idf_b"))
+
+        def rows(t: int) -> slice:
+            return slice(starts[t], starts[t + 1]) if t >= 0 else slice(0, 0)
+
+        def weights(at_: slice, idf_: float) -> np.ndarray:
+            return idf_ * tf[at_] / (lx.K1 + tf[at_])
+
+        tops: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+        def top(t: int, idf_: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
+            """The best of those with one term: no other without a second term can be among a query's best."""
+            if (t, factor) not in tops:
+                own = rows(t)
+                value = weights(own, idf_) * factor
+                some = np.flatnonzero(value >= np.partition(value, -size)[-size]) if len(value) > size else np.arange(len(value))
+                some = some[np.lexsort((rank[doc[own][some]], -value[some]))[:size]]
+                tops[t, factor] = doc[own][some], value[some]
+            return tops[t, factor]
+
+        found: list[list[np.ndarray]] = [[_NONE], [_NONE], [np.zeros(0)], [_NONE]]
+
+        def tell(k: int, docs: np.ndarray, score: np.ndarray, met: np.ndarray) -> None:
+            best = np.lexsort((rank[docs], -score))[:size]
+            for column, x in zip(found, (np.full(len(best), k), docs[best], score[best], met[best]), strict=True):
+                column.append(x)
+
+        n = np.diff(starts)
+        count = [np.where(x >= 0, n[x] if len(n) else 0, 0) for x in (a, b)]
+        more = np.where(count[0] >= count[1], a, b)  # the more frequent term
+        place, last = np.full(len(ids), -1), -1
+        for k in np.argsort(more, kind="stable").tolist():
+            if single[k]:
+                docs, value = top(int(a[k]), idf_a[k], 1.0)
+                tell(k, docs, value, np.full(len(docs), 1))
+                continue
+            if more[k] != last:
+                place[doc[rows(last)]] = -1
+                last = int(more[k])
+                place[doc[rows(last)]] = np.arange(starts[last], starts[last + 1]) if last >= 0 else _NONE
+            swapped = more[k] != a[k]
+            less, idfs = (int(a[k]), (idf_b[k], idf_a[k])) if swapped else (int(b[k]), (idf_a[k], idf_b[k]))
+            own = rows(less)
+            other = place[doc[own]]
+            both = np.flatnonzero(other >= 0)
+            x, y = other[both], both + own.start
+            score = (idfs[0] * tf[x] / (lx.K1 + tf[x]) + idfs[1] * tf[y] / (lx.K1 + tf[y])) * part[1]
+            if len(both) > size:  # places add PROXIMITY_WEIGHT at most
+                may = np.flatnonzero(score + lx.PROXIMITY_WEIGHT * (1 + 1e-9) >= np.partition(score, -size)[-size])
+                x, y, score = x[may], y[may], score[may]
+            if len(x):
+                score = score + lx.PROXIMITY_WEIGHT * 2 / _nearest(at[x], many[x], places, at[y], many[y])
+            columns = [(doc[x], score, np.full(len(x), 3))]
+            for t, value, bit in ((last, idfs[0], 2 if swapped else 1), (less, idfs[1], 1 if swapped else 2)):
+                docs, alone = top(t, value, part[0])
+                at_other = own if t == last else rows(last)
+                without = ~np.isin(docs, doc[at_other]) if t == last else place[docs] < 0
+                columns.append((docs[without], alone[without], np.full(without.sum(), bit)))
+            tell(k, *map(np.concatenate, zip(*columns, strict=True)))
+        k, docs, score, met = map(np.concatenate, found)
+        names = [queries[x].take(pa.array(k)).combine_chunks() for x in "ab"]
+        return pa.table([*names, pa.array(ids[docs], pa.int64()), pa.array(score), pa.array(met, pa.int32())], names=["a", "b", "doc_id", "score", "met"])
+
+    return run
+
+
+def _search_short(index: Index, queries: DataFrame, size: int, key: str, kept: Kept) -> DataFrame:
+    """``search_many`` for queries of one or two different ``terms`` and nothing else.
+
+    Of the documents with one of two terms only the best by that term can be among a query's best, since a second term adds to the
+    score; those with both are met in their block, where the shortest spans are looked at only if they can matter.
+    """
+    queries = queries.select(key, F.array_sort("terms").alias("t")).select(key, F.col("t")[0].alias("a"), F.get("t", F.lit(1)).alias("b"))
+    shapes = kept.keep(queries.select("a", "b").distinct(), "shapes")
+    wanted = shapes.select(F.explode(F.array("a", "b")).alias("term")).where("term IS NOT NULL").distinct()
+    lengths = ("title_len", "body_len")
+    if index.built:
+        postings = postings_of(index.documents, index.stemmed, more=lengths)
+    else:
+        postings = index.postings.join(index.documents.select("doc_id", *lengths), "doc_id")
+    corpus = kept.keep(index.stats.select(
+        F.greatest("doc_count", F.lit(1)).alias("n"),
+        F.greatest(F.col("title_len") / F.greatest("doc_count", F.lit(1)), F.lit(1.0)).alias("avg_title"),
+        F.greatest(F.col("body_len") / F.greatest("doc_count", F.lit(1)), F.lit(1.0)).alias("avg_body"),
+    ), "corpus")
+    norm_title = 1 - lx.TITLE_B + lx.TITLE_B * F.col("title_len") / F.col("avg_title")
+    norm_body = 1 - lx.BODY_B + lx.BODY_B * F.col("body_len") / F.col("avg_body")
+    tf = lx.TITLE_WEIGHT * F.size("title") / norm_title + lx.BODY_WEIGHT * F.size("body") / norm_body
+    postings = postings.join(wanted, "term", "left_semi").crossJoin(F.broadcast(corpus)).select("term", "doc_id", tf.alias("tf"), "body")
+    postings = kept.keep(postings, "postings")
+
+    blocks = max(1, -(-corpus.first().n // BLOCK))
+    chunks = max(1, -(-shapes.count() // CHUNK))
+    counts = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus)).select("term", idf(F.col("df"), F.col("n")).alias("idf"))
+    counts = kept.keep(counts, "counts")
+    for x in "ab":
+        shapes = shapes.join(counts.select(F.col("term").alias(x), F.col("idf").alias(f"idf_{x}")), x, "left")
+    shapes = shapes.select("a", "b", F.coalesce("idf_a", F.lit(0.0)).alias("idf_a"), F.coalesce("idf_b", F.lit(0.0)).alias("idf_b"))
+    shapes = shapes.withColumn("chunk", F.pmod(F.xxhash64("a", "b"), F.lit(chunks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    cells = postings.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<bigint>")))
+    found = cells.groupBy("block", "chunk").cogroup(shapes.groupBy("block", "chunk")).applyInArrow(_best_of_block(size), FOUND)
+    best = W.partitionBy("a", "b").orderBy(F.desc("score"), F.col("doc_id").cast("string"))
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size)
+    rows = queries.join(found, (queries["a"] == found["a"]) & queries["b"].eqNullSafe(found["b"]))
+    matched = F.filter(F.array(F.when(F.col("met").bitwiseAND(1) > 0, found["a"]), F.when(F.col("met").bitwiseAND(2) > 0, found["b"])), lambda t: t.isNotNull())
+    return rows.select(key, "rank", "doc_id", "score", matched.alias("matched_terms"))
+
+
 def search_many(index: Index, queries: DataFrame, size: int = 10, key: str = "query") -> DataFrame:
     """(key, rank, doc_id, score, matched_terms): the ``size`` best documents of each query, ties by the id as text."""
+    plain = F.size("terms").between(1, 2) & (F.size(F.array_distinct("terms")) == F.size("terms"))
+    for name in ("title_terms", "excluded", "tags", "phrases", "expansions"):
+        plain &= F.size(name) <= 0
+    kept = Kept(index.documents.sparkSession, "batch")
+    queries = kept.keep(queries, "queries")
+    short, others = _search_short(index, queries.where(plain), size, key, kept), queries.where(~plain)
+    if others.isEmpty():
+        return short
     best = W.partitionBy(key).orderBy(F.desc("score"), F.col("doc_id").cast("string"))
-    ranked = score_many(index, queries, key).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size)
-    return ranked.select(key, "rank", "doc_id", "score", "matched_terms")
+    ranked = score_many(index, others, key).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size)
+    return ranked.select(key, "rank", "doc_id", "score", "matched_terms").unionByName(short)

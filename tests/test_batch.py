@@ -66,3 +66,46 @@ def test_many_positions(spark):
     rows = spark.range(1).select(F.array(F.transform(F.sequence(F.lit(0), F.lit(49_999)), lambda x: x * 4), F.transform(F.sequence(F.lit(0), F.lit(49_999)), lambda x: x * 4 + 3)).alias("lists"))
     assert rows.select(se.min_span(F.col("lists"))).first()[0] == 2
     assert rows.select(se.phrase_in([F.col("lists")[0], F.col("lists")[1]], [0, 3])).first()[0] and not rows.select(se.phrase_in([F.col("lists")[0], F.col("lists")[1]], [0, 2])).first()[0]
+
+
+@pytest.mark.parametrize("block, chunk, size", [(1 << 15, 1 << 20, 10), (7, 5, 3)])
+def test_short_queries_by_block(spark, monkeypatch, block, chunk, size):
+    """One and two words, words that nobody has, titles without a body, repeated queries and ties, against the plain form."""
+    monkeypatch.setattr(batch, "BLOCK", block)
+    monkeypatch.setattr(batch, "CHUNK", chunk)
+    rng, words = random.Random(3), "aa bb cc dd ee ff gg hh".split()
+    texts = [" ".join(rng.choices(words, [9, 7, 5, 3, 2, 1, 1, 1], k=rng.randint(1, 25))) for _ in range(60)]
+    rows = [(k, k, rng.choice(["", "aa", "bb cc", "ff"]), t if k % 9 else "", None, [], None) for k, t in enumerate(texts * 2)]
+    schema = "doc_id bigint, seq bigint, title string, body string, url string, tags array<string>, created_at timestamp"
+    index = build_index(spark.createDataFrame(rows, schema), stemmed=False)
+    asked_ = [" ".join(rng.sample([*words, "zz"], rng.randint(1, 2))) for _ in range(50)] * 2
+    table = batch.asked(spark.createDataFrame(list(enumerate(asked_)), "query int, text string"), stemmed=False)
+    plain = batch.score_many(index.cached(), table).collect()
+    want = {}
+    for r in sorted(plain, key=lambda r: (-round(r.score, 9), str(r.doc_id))):
+        if len(want.setdefault(r.query, [])) < size:
+            want[r.query].append((len(want[r.query]) + 1, r.doc_id, round(r.score, 8), sorted(r.matched_terms)))
+    got = {}
+    for r in batch.search_many(index, table, size).collect():
+        got.setdefault(r.query, []).append((r["rank"], r.doc_id, round(r.score, 8), sorted(r.matched_terms)))
+    assert {q: sorted(x) for q, x in got.items()} == want
+
+
+def test_repeated_queries_are_met_once(spark, index, monkeypatch):
+    """A query that comes 500 times is scored once in each block."""
+    made = spark.sparkContext.accumulator(0)
+    plain = batch._best_of_block
+
+    def counted(size):
+        run = plain(size)
+
+        def of(postings, queries):
+            made.add(queries.num_rows)
+            return run(postings, queries)
+
+        return of
+
+    monkeypatch.setattr(batch, "_best_of_block", counted)
+    table = batch.asked(spark.createDataFrame([(k, "docker data") for k in range(500)], "query int, text string"), expand=False, stemmed=index.stemmed)
+    rows = batch.search_many(index, table, size=2).collect()
+    assert len({r.query for r in rows}) == 500 and made.value == 1
