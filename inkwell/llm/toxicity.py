@@ -202,13 +202,13 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
     return np.concatenate(done) if done else np.zeros(0)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, w: np.ndarray | None = None, steps: int = 8) -> np.ndarray:
-    """Squared-hinge linear machine with a bias in the last, constant feature, by Newton's method."""
+def _svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: np.ndarray, w: np.ndarray | None = None, steps: int = 8) -> np.ndarray:
+    """Squared-hinge linear machine on ``rows`` of x with a bias in the last, constant feature, by Newton's method."""
     w = np.zeros(x.shape[1]) if w is None else w
     for _ in range(steps):
         g, h = w.copy(), np.eye(len(w))
-        for lo in range(0, len(x), 4096):
-            part = x[lo : lo + 4096].astype(np.float64)
+        for lo in range(0, len(rows), 4096):
+            part = x[rows[lo : lo + 4096]].astype(np.float64)
             margin = 1 - y[lo : lo + 4096] * (part @ w)
             on = margin > 0
             part, weight = part[on], c[lo : lo + 4096][on]
@@ -235,24 +235,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 def _words_machine(parts: list[Units], labels: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
     """The table and bias that decide on words."""
-    base = np.cumsum([0, *(len(p.symbols) for p in parts)])
-    symbols = np.concatenate([p.symbols for p in parts])
-    starts = np.concatenate([p.starts + b for p, b in zip(parts, base, strict=False)])
-    counts = np.concatenate([np.diff(p.rows) for p in parts])
-    doc = np.repeat(np.arange(len(counts)), counts)
-    ends = np.append(starts[1:], len(symbols))
-    key = np.concatenate([HASHES.words(p.symbols, p.starts, np.append(p.starts[1:], len(p.symbols))[: len(p.starts)]) for p in parts])
+    symbols, held, texts, base = np.concatenate([p.symbols for p in parts]), [], 0, 0
+    for p in parts:  # each word once in a document, before the parts' words meet
+        n = np.diff(p.rows)
+        ends = np.append(p.starts[1:], len(p.symbols))[: len(p.starts)]
+        known, first, kind = np.unique(HASHES.words(p.symbols, p.starts, ends), return_index=True, return_inverse=True)
+        pairs = np.unique(np.repeat(np.arange(len(n)), n) << 32 | kind)
+        own = first[pairs & 0xFFFFFFFF]
+        held.append((((pairs >> 32) + texts).astype(np.int32), known[pairs & 0xFFFFFFFF], (p.starts[own] + base).astype(np.int32), (ends - p.starts)[own].astype(np.int32)))
+        texts, base = texts + len(n), base + len(p.symbols)
+    doc, key, at, length = map(np.concatenate, zip(*held, strict=True))
+    del held
     _, first, kind = np.unique(key, return_index=True, return_inverse=True)
-    pairs = np.unique(doc.astype(np.int64) << 32 | kind)  # each word once in a document
-    doc, kind = pairs >> 32, pairs & 0xFFFFFFFF
     toxic = labels[doc] > 0
     n1, n0 = (np.bincount(kind[t], minlength=len(first)).astype(float) for t in (toxic, ~toxic))
     d1, d0 = labels.sum(), (1 - labels).sum()
     p = (n1 + n0) / (d1 + d0)
     z = (n1 / d1 - n0 / d0) / np.sqrt(p * (1 - p) * (1 / d1 + 1 / d0) + 1e-12)
 
-    at, length = starts[first], ends[first] - starts[first]
-    del key, pairs, starts, ends
+    at, length = at[first].astype(np.int64), length[first].astype(np.int64)
+    del key
 
     def some_words(which: np.ndarray) -> Units:
         n = length[which]
@@ -268,15 +270,17 @@ def _words_machine(parts: list[Units], labels: np.ndarray, seed: int) -> tuple[n
 
     place, known = np.full(len(first), -1), np.zeros((0, marks.root.shape[1] + 1), np.float32)
 
-    def features(which: np.ndarray) -> np.ndarray:
-        nonlocal known
+    def learn(which: np.ndarray) -> np.ndarray:
+        """Rows of ``known`` with the features of words; new ones are added in place, since a second copy is what takes most memory."""
         new = which[place[which] < 0]
-        if len(new):
-            place[new] = len(known) + np.arange(len(new))
-            made = [marks.features(some_words(new[k : k + 2048])) for k in range(0, len(new), 2048)]
-            made = np.concatenate(made)
-            known = np.concatenate([known, np.column_stack([made, np.ones(len(made), np.float32)])])
-        return known[place[which]]
+        have = len(known)
+        place[new] = have + np.arange(len(new))
+        known.resize((have + len(new), known.shape[1]), refcheck=False)
+        for k in range(0, len(new), 2048):
+            some = new[k : k + 2048]
+            known[have + k : have + k + len(some), :-1] = marks.features(some_words(some))
+        known[have:, -1] = 1
+        return place[which]
 
     clean, everything = np.flatnonzero(n0), np.arange(len(first))
     some = rng.permutation(clean)[:TRAIN_WORDS]
@@ -292,18 +296,19 @@ def _words_machine(parts: list[Units], labels: np.ndarray, seed: int) -> tuple[n
         use = np.flatnonzero(pos)
         y = np.concatenate([np.ones(len(use)), -np.ones(len(neg))])
         c = np.concatenate([pos[use], n0[hard] + 1, (n0[rest] + 1) * scale_up]) * COST
-        w = _svm(features(np.concatenate([use, neg])), y, c, w)
+        rows = learn(np.concatenate([use, neg]))
+        w = _svm(known, rows, y, c, w)
         table = marks.table(w[:-1])
         decision = np.concatenate([decisions(some_words(everything[k : k + (1 << 14)]), table) for k in range(0, len(everything), 1 << 14)]) + w[-1]
     return table, float(w[-1])
 
 
-def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
+def fit(texts: list[str] | pa.Array, labels: np.ndarray, seed: int = 7) -> Model:
     """Train on documents.  With fewer than four of a class every text gets the share of toxic ones, 0.01 without labels.
 
     The document weights are fitted on decisions by a machine that was trained on the other half of the documents.
     """
-    labels = np.asarray(labels, np.float64)
+    labels, texts = np.asarray(labels, np.float64), pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
     share = (labels.sum() + 0.01) / (len(labels) + 1)
     if min(labels.sum(), (1 - labels).sum()) < 4:
         return Model(np.zeros(1 << 18, np.float32), -1.0, np.array([0, 0, 0, np.log(share / (1 - share))]))
@@ -312,8 +317,8 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         half[labels == c] = np.arange((labels == c).sum()) % 2 == 0
 
     def parts(which: np.ndarray) -> list[Units]:
-        own = np.flatnonzero(which).tolist()
-        return [units(c) for lo in range(0, len(own), PART) for c in chunks(pa.array([texts[k] for k in own[lo : lo + PART]], pa.large_string()))]
+        own = np.flatnonzero(which)
+        return [units(c) for lo in range(0, len(own), PART) for c in chunks(texts.take(pa.array(own[lo : lo + PART])))]
 
     m, y = [], []
     for own in (half, ~half):
@@ -349,9 +354,9 @@ def _some(rows: DataFrame, times: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on the labelled documents whose crc32 of the id modulo 5 is not 0."""
-    rows = training_rows(docs, labels, id_col, text_col).collect()
-    rows.sort(key=lambda r: (r.text, r.toxic))
-    model = fit([r.text for r in rows], np.array([r.toxic for r in rows], np.float64))
+    rows = training_rows(docs, labels, id_col, text_col).select(F.col("text"), F.col("toxic").cast("int").alias("toxic")).toArrow()
+    rows = rows.sort_by([("text", "ascending"), ("toxic", "ascending")])
+    model = fit(rows["text"].cast(pa.large_string()).combine_chunks(), rows["toxic"].to_numpy().astype(np.float64))
     with contextlib.suppress(OSError, AttributeError):  # give freed memory back at once, where the C library can
         ctypes.CDLL(None).malloc_trim(0)
     return model
