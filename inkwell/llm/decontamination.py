@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Workspace, carried, once_per_worker, row_of
+from .shared import Workspace, carried, frugal, once_per_worker, row_of
 from .wordscan import ALNUM_WORDS, Chunk, Hasher, chunks, words
 
 WINDOW = 10
@@ -220,7 +220,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, carry: list[str], text
         part = named if parts == 1 else named.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
         more = k < parts - 1
         kept = len(fields) if more else len(names)
-        rows = rows.mapInArrow(_pass([tuple(r) for r in part.collect()], size, text_at, kept, k > 0), T.StructType([*fields[:kept], *made]))
+        rows = rows.mapInArrow(frugal(_pass([tuple(r) for r in part.collect()], size, text_at, kept, k > 0)), T.StructType([*fields[:kept], *made]))
         if more:
             rows = work.keep(rows, f"pass-{k}")
     return rows.select(row_of(carry, names), "n_words", "spans", "items")

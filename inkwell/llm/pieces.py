@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import carried, once_per_worker, row_of
+from .shared import carried, frugal, give_back, once_per_worker, row_of
 from .wordscan import Hasher, chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -180,21 +180,31 @@ def marked_words(data: np.ndarray, rows: np.ndarray, breaks: bytes) -> tuple[np.
 
 
 class Codec:
-    """Encodes and decodes columns of texts, remembering words between batches."""
+    """Encodes and decodes columns of texts, remembering words between batches: ``keys`` are their 64-bit hashes in order, by which words are
+    told apart, and ``flat`` has the ids of each from ``begin`` on, ``count`` of them."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.encoder = vocabulary, Encoder(vocabulary)
         self.breaks = bytes(x for x in b"\n\t" if not any(chr(x) in p for p in vocabulary.ids if len(p) > 1))
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self._forget()
         self.sizes = np.array([len(x) for x in vocabulary.raw], np.int64)
         self.bytes_ = np.frombuffer(b"".join(vocabulary.raw), np.uint8)
         self.at = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
 
-    def _learn(self, new: list[bytes]) -> None:
-        texts = sorted(set(x.decode().replace(" ", MARK) for x in new))
+    def _forget(self) -> None:
+        self.keys, self.begin, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _learn(self, keys: np.ndarray, new: list[bytes]) -> None:
+        """Remember words of these hashes, which are in order and not known yet."""
+        marked = [x.decode().replace(" ", MARK) for x in new]
+        texts = sorted(set(marked))
         got = dict(zip(texts, self.encoder.words(texts), strict=True))
-        for x in new:
-            self.known[x] = got[x.decode().replace(" ", MARK)]
+        each = [got[x] for x in marked]
+        count = np.fromiter(map(len, each), np.int32, len(each))
+        flat = np.fromiter((k for x in each for k in x), np.int32, int(count.sum()))
+        at = np.searchsorted(self.keys, keys)
+        self.begin = np.insert(self.begin, at, len(self.flat) + np.cumsum(count, dtype=np.int64) - count)
+        self.keys, self.count, self.flat = np.insert(self.keys, at, keys), np.insert(self.count, at, count), np.concatenate([self.flat, flat])
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each chunk of texts: ids, where each row's ids start, the rows' bytes with the mark put before, where each starts."""
@@ -206,19 +216,20 @@ class Codec:
             if not len(starts):
                 yield np.zeros(0, np.int32), np.zeros(len(rows), np.int64), data, rows
                 continue
-            _, first, kind = np.unique(HASHES.words(data, starts, ends), return_index=True, return_inverse=True)
-            raw = data.tobytes()
-            words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-            if len(self.known) > MEMO:
-                self.known.clear()
-            self._learn([x for x in words if x not in self.known])
-            each = [self.known[x] for x in words]
-            lengths = np.fromiter(map(len, each), np.int64, len(each))
-            flat = np.fromiter((k for x in each for k in x), np.int32, int(lengths.sum()))
-            base = np.cumsum(lengths) - lengths
-            n = lengths[kind]
-            to = np.concatenate(([0], np.cumsum(n)))
-            ids = flat[np.repeat(base[kind] - to[:-1], n) + np.arange(to[-1])]
+            keys, first, kind = np.unique(HASHES.words(data, starts, ends), return_index=True, return_inverse=True)
+            if len(self.keys) > MEMO:
+                self._forget()
+            at = np.searchsorted(self.keys, keys)
+            met = at < len(self.keys)
+            met[met] = self.keys[at[met]] == keys[met]
+            new = np.flatnonzero(~met)
+            if len(new):
+                raw = data.tobytes()
+                self._learn(keys[new], [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, keys)[kind]
+            n = self.count[at]
+            to = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+            ids = self.flat[np.repeat(self.begin[at] - to[:-1], n) + np.arange(to[-1])]
             yield ids, to[np.searchsorted(starts, rows)], data, rows
 
     def decode(self, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,11 +271,13 @@ def encode_documents(docs: DataFrame, carry: list[str], text_col: str = "text",
                 kept = [c.slice(done, n) for c in b.columns[: len(names)]]
                 done += n
                 yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
+                del ids, at, data, starts, back, back_at, raw, out, source, made, kept
+                give_back()
 
     made = [T.StructField("n_ids", T.LongType())]
     if keep_ids:
         made.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
     made += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
     schema = T.StructType([*list(rows.schema)[: len(names)], *made])
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(frugal(run), schema)
     return out.select(row_of(carry, names), *(f.name for f in made))

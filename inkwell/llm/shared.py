@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .wordscan import POWERS
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; where none is set and all runs in one process, as in tests, a temporary folder."""
@@ -64,6 +68,27 @@ def once_per_worker(key: object, build: Callable[[], object]) -> object:
     return store[key]
 
 
+def give_back() -> None:
+    """Forget what hashers remember and return freed memory to the system, which the C library and Arrow else keep for themselves."""
+    POWERS.clear()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` that gives memory back when it begins and ends: a Python process serves the tasks of many steps."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def carried(docs: DataFrame, carry: list[str], text_col: str) -> tuple[DataFrame, list[str], int]:
     """The columns to carry through a scan under names of our own, the names, and where the text is: among them or right after."""
     names = [f"c{k}" for k in range(len(carry))]

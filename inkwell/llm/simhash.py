@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import Workspace, carried, spread_join
+from .shared import Workspace, carried, frugal, spread_join
 from .wordscan import LOWER_WORDS, Chunk, chunks, words
 from .xxh64 import xxh64
 
@@ -80,7 +80,7 @@ def with_key(docs: DataFrame, carry: list[str], text_col: str, key: Callable[[pa
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(key(b.column(text_at)))], names=[*names, "key"])
 
-    return rows.mapInArrow(scan, T.StructType([*list(rows.schema)[: len(names)], T.StructField("key", T.LongType())])), names
+    return rows.mapInArrow(frugal(scan), T.StructType([*list(rows.schema)[: len(names)], T.StructField("key", T.LongType())])), names
 
 
 # --- shards and trees -------------------------------------------------------------------------------------------------
@@ -231,7 +231,7 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, hot: int = HOT_SHARD) ->
     hot_keys = rows.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("k", "v")
     cold, cut = rows.join(hot_keys, ["k", "v"], "left_anti"), rows.join(hot_keys, ["k", "v"], "left_semi")
     dealt = cold.unionByName(_cut_again(cut, masks, radius)).select("k", "v", "fp").repartition("k", "v").sortWithinPartitions("k", "v")
-    return dealt.mapInArrow(_link_shards(radius), "a bigint, b bigint")
+    return dealt.mapInArrow(frugal(_link_shards(radius)), "a bigint, b bigint")
 
 
 def fingerprint_groups(docs: DataFrame, id_col: str, text_col: str, work: Workspace, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import Workspace, row_of
+from .shared import Workspace, frugal, row_of
 from .wordscan import PLAIN_WORDS, Hasher, Words, chunks, words
 
 WINDOW = 20
@@ -91,7 +91,7 @@ class FingerprintIndex:
 
     def add(self, batch: DataFrame) -> None:
         """Append a batch of (id, text): write its run, note the hashes that repeat in it or in older runs, and compact."""
-        rows = batch.mapInArrow(_anchor_rows, f"fp bigint, id {batch.schema['id'].dataType.simpleString()}, n tinyint")
+        rows = batch.mapInArrow(frugal(_anchor_rows), f"fp bigint, id {batch.schema['id'].dataType.simpleString()}, n tinyint")
         name = self._write(rows)
         new = self.spark.table(name)
         found = new.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp")
@@ -299,12 +299,12 @@ def remove_repeats(docs: DataFrame, carry: list[str], id_col: str = "doc_id", te
     id_type = rows.schema["id"].dataType.simpleString()
     near = all_.join(found.withColumnRenamed("id", "cid"), F.col("id").eqNullSafe(F.col("cid")))
     near = near.select("id", "text", "fps", *(n for _, n in others)).sortWithinPartitions("id")
-    seen = near.mapInArrow(_window_rows(window, gram), WINDOW_SCHEMA.format(id=id_type))
+    seen = near.mapInArrow(frugal(_window_rows(window, gram)), WINDOW_SCHEMA.format(id=id_type))
     least = F.min(F.struct("id", "first")).over(W.partitionBy("fp", "digest"))
     again = seen.repartition("fp", "digest").withColumn("least", least).where(F.col("sure") | (F.struct("id", "first") != F.col("least")))
-    ranges = again.select("id", "first", "last").mapInArrow(_merge_ranges, f"id {id_type}, first int, last int")
+    ranges = again.select("id", "first", "last").mapInArrow(frugal(_merge_ranges), f"id {id_type}, first int, last int")
     ranges = ranges.groupBy(F.col("id").alias("rid")).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     joined = all_.join(ranges, F.col("id").eqNullSafe(F.col("rid")), "left").select(*names, "text", "ranges")
     carried = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema[: len(names)])
-    out = joined.mapInArrow(_cut(window, len(names)), f"{carried}, n_words bigint, n_removed bigint, kept string, sha string")
+    out = joined.mapInArrow(frugal(_cut(window, len(names))), f"{carried}, n_words bigint, n_removed bigint, kept string, sha string")
     return out.select(row_of(carry, names), "n_words", "n_removed", "kept", F.col("sha").alias("kept_sha256"))

@@ -12,8 +12,6 @@ instances: in a toxic document its highest words count as toxic, in a clean one
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import carried, row_of
+from .shared import carried, frugal, give_back, row_of
 from .wordscan import PLAIN_WORDS, Chunk, Hasher, chunks, edges
 
 SPAN = 6
@@ -357,8 +355,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = training_rows(docs, labels, id_col, text_col).select(F.col("text"), F.col("toxic").cast("int").alias("toxic")).toArrow()
     rows = rows.sort_by([("text", "ascending"), ("toxic", "ascending")])
     model = fit(rows["text"].cast(pa.large_string()).combine_chunks(), rows["toxic"].to_numpy().astype(np.float64))
-    with contextlib.suppress(OSError, AttributeError):  # give freed memory back at once, where the C library can
-        ctypes.CDLL(None).malloc_trim(0)
+    give_back()
     return model
 
 
@@ -375,5 +372,5 @@ def score_documents(docs: DataFrame, model: Model, carry: list[str], text_col: s
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(scores(own, b.column(text_at)))], names=[*names, "score"])
 
-    out = rows.mapInArrow(run, T.StructType([*list(rows.schema)[: len(names)], T.StructField("score", T.DoubleType())]))
+    out = rows.mapInArrow(frugal(run), T.StructType([*list(rows.schema)[: len(names)], T.StructField("score", T.DoubleType())]))
     return out.select(row_of(carry, names), "score")

@@ -143,6 +143,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
+POWERS: dict[int, np.ndarray] = {}
+"""Powers by base, some 9 MB each, that the hashers of a process share while a task runs."""
+
+
 class Hasher:
     """Rolling 64-bit hashes of words and of runs of words, from prefix sums modulo 2 ** 64."""
 
@@ -150,17 +154,16 @@ class Hasher:
         rng = np.random.Generator(np.random.PCG64(seed))
         self.symbols = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
         self.base, self.step = (int(x) | 1 for x in rng.integers(1 << 40, 1 << 62, 2))
-        self.up, self.down = {}, {}
 
-    def _powers(self, kind: dict, base: int, n: int) -> np.ndarray:
-        if len(kind.get(base, ())) < n:
-            kind[base] = powers(base, max(n, (CHUNK_BYTES + CHUNK_BYTES // 8)))
-        return kind[base][:n]
+    def _powers(self, base: int, n: int) -> np.ndarray:
+        if len(POWERS.get(base, ())) < n:
+            POWERS[base] = powers(base, max(n, (CHUNK_BYTES + CHUNK_BYTES // 8)))
+        return POWERS[base][:n]
 
     def _runs(self, values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self._powers(self.up, base, len(values)), out=sums[1:])
-        inverse = self._powers(self.down, pow(base, -1, 1 << 64), len(values) + 1)
+        np.cumsum(values * self._powers(base, len(values)), out=sums[1:])
+        inverse = self._powers(pow(base, -1, 1 << 64), len(values) + 1)
         return mix64((sums[ends] - sums[starts]) * inverse[starts])
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
