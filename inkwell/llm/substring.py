@@ -4,7 +4,8 @@ Anchors: of every window of ``window`` words, the run of ``gram`` words with the
 have equal anchors at equal places, and about one word in seven starts one.  The index keeps anchors as immutable runs, tables
 bucketed and sorted by hash.  A new batch becomes a run, is merge-joined with the older runs and with itself, and what repeats is
 verified on the texts: windows around repeated anchors are compared by the 128-bit digest of their words.  Runs of one
-size are merged, as in a log-structured merge tree.
+size are merged, as in a log-structured merge tree.  Whole copies of earlier texts are told by their digest and go as a whole, so
+none of their anchors and windows is stored or sent.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import Workspace, frugal, row_of
+from .shared import Workspace, frugal, row_of, spread_join
 from .wordscan import PLAIN_WORDS, Hasher, Words, chunks, words
 
 WINDOW = 20
@@ -33,6 +34,8 @@ FAN_IN = 2
 """So many runs of one level are merged into one of the next."""
 MET = 1 << 20
 """Windows that a task remembers at most before it starts afresh; that only makes it send some windows again."""
+WHOLE = 1 << 30
+"""The last window start of a range that has all windows of a text, however long."""
 
 
 def anchors(w: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,7 +255,7 @@ def _cut(window: int, carried: int):
                     k, lo, hi = chunk.first + i, int(w.rows[i]), int(w.rows[i + 1])
                     x, y = int(w.bytes_[i]), int(w.bytes_[i + 1])
                     rest, gone = raw[x : max(x, y - 1)], 0
-                    if size[k]:
+                    if size[k] and hi - lo >= window:
                         change = np.zeros(hi - lo + 1, np.int64)
                         np.add.at(change, first[to[k] : to[k + 1]], 1)
                         np.add.at(change, np.minimum(last[to[k] : to[k + 1]] + window, hi - lo), -1)
@@ -272,6 +275,15 @@ def _cut(window: int, carried: int):
     return run
 
 
+def _copies(rows: DataFrame, work: Workspace) -> DataFrame:
+    """The ids of (id, text) of which each text also is, whole, that of a smaller id: all of their windows start earlier there."""
+    texts = work.keep(rows.where("text IS NOT NULL").select("id", F.unhex(F.sha2("text", 256)).alias("sha")), "texts")
+    least = work.keep(texts.groupBy("sha").agg(F.min(F.struct("id")).alias("least"), F.count("*").alias("n")).where("n > 1"), "texts-again")
+    later = spread_join(texts, least, ["sha"]).where(F.struct("id") > F.col("least")).select("id").distinct()
+    mixed = texts.groupBy("id").agg(F.min("sha").alias("x"), F.max("sha").alias("y")).where("x <> y").select("id")  # rows that share an id
+    return work.keep(later.join(mixed, "id", "left_anti"), "copies")
+
+
 def remove_repeats(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = 2, buckets: int = BUCKETS) -> DataFrame:
     """One row for each row of ``docs``: row (a struct of the columns ``carry``), n_words, n_removed, kept, kept_sha256.
 
@@ -287,8 +299,10 @@ def remove_repeats(docs: DataFrame, carry: list[str], id_col: str = "doc_id", te
     work = Workspace(spark, "substring")
     index = FingerprintIndex(spark, work, buckets)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    copies = _copies(rows, work)
+    fresh = rows.join(copies, "id", "left_anti")
     for k in range(batches):
-        index.add(rows.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k))
+        index.add(fresh.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k))
     found = work.keep(index.candidates(), "candidates")
     index.close()
 
@@ -303,6 +317,7 @@ def remove_repeats(docs: DataFrame, carry: list[str], id_col: str = "doc_id", te
     least = F.min(F.struct("id", "first")).over(W.partitionBy("fp", "digest"))
     again = seen.repartition("fp", "digest").withColumn("least", least).where(F.col("sure") | (F.struct("id", "first") != F.col("least")))
     ranges = again.select("id", "first", "last").mapInArrow(frugal(_merge_ranges), f"id {id_type}, first int, last int")
+    ranges = ranges.unionByName(copies.select("id", F.lit(0).alias("first"), F.lit(WHOLE).alias("last")))
     ranges = ranges.groupBy(F.col("id").alias("rid")).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     joined = all_.join(ranges, F.col("id").eqNullSafe(F.col("rid")), "left").select(*names, "text", "ranges")
     carried = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema[: len(names)])

@@ -8,7 +8,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from inkwell.llm import pieces, shared, wordscan
+from inkwell.llm import pieces, shared, substring, wordscan
 
 
 def _ids(codec, texts):
@@ -44,3 +44,32 @@ def test_hashers_share_powers_for_a_task_and_give_them_back():
 
     (a, b), *_ = shared.frugal(run)(iter([1]))
     assert (a == b).all() and not wordscan.POWERS
+
+
+def test_whole_copies_send_no_windows(spark, monkeypatch):
+    """Copies of a text are told by its digest: neither their anchors are stored nor their windows sent."""
+
+    def none_left(window, gram):
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    raise AssertionError("windows were asked for")
+                yield from ()
+
+        return run
+
+    monkeypatch.setattr(substring, "_window_rows", none_left)
+    text, other = " ".join(map(str, range(100))), " ".join(map(str, range(200, 240)))
+    rows = [(None, other), (1, "too short"), (2, text), (3, text), (4, other), (5, None), (6, "too short"), (7, text), (8, "")]
+    found = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], buckets=4).collect()
+    told = {r.row.doc_id: (r.n_words, r.n_removed, r.kept) for r in found}
+    assert len(found) == len(rows) and told[3] == told[7] == (100, 100, "") and told[4] == (40, 40, "")
+    assert {k for k, v in told.items() if v[1] == 0} == {None, 1, 2, 5, 6, 8} and told[6] == (2, 0, "too short")
+
+
+def test_copies_among_rows_that_share_an_id(spark):
+    text, other = " ".join(map(str, range(100))), " ".join(map(str, range(200, 240)))
+    rows = [(1, text), (2, text), (2, other), (3, other), (3, other), (4, other + " " + text), (1, other)]
+    found = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], buckets=4).collect()
+    told = sorted((r.row.doc_id, r.n_words, r.n_removed) for r in found)
+    assert [x for x in told if x[0] in (1, 3)] == [(1, 40, 0), (1, 100, 0), (3, 40, 40), (3, 40, 40)] and told[-1] == (4, 140, 140)
