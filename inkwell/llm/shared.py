@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import sys
 import tempfile
+import time
 import types
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,11 +37,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+SWEEP_S = 2.0
+"""Seconds between two sweeps at least: steps that are over sooner leave little."""
+
+
 class Workspace:
     """A folder of one run's intermediate tables, removed when the driver's Python ends or by ``drop``."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark, self.swept = spark, time.monotonic()
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, self.path)
 
@@ -48,11 +53,19 @@ class Workspace:
         """Write ``df`` and read it back: this cuts the lineage and survives lost executors."""
         path = f"{self.path}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.sweep()
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Remove a table that no later step reads."""
-        _remove(self.spark, f"{self.path}/{name}")
+    def sweep(self) -> None:
+        """Have the shuffle files of the steps before removed, which Spark keeps until the driver happens to collect its garbage."""
+        if time.monotonic() - self.swept >= SWEEP_S:
+            self.spark.sparkContext._jvm.System.gc()
+            self.swept = time.monotonic()
+
+    def drop(self, *names: str) -> None:
+        """Remove tables that no later step reads."""
+        for name in names:
+            _remove(self.spark, f"{self.path}/{name}")
 
 
 def once_per_worker(key: object, build: Callable[[], object]) -> object:

@@ -277,6 +277,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = each.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n")).alias("first"))
     stays = first.join(parts, "key").groupBy("part").agg(F.min("first").alias("f")).select(F.col("f.id").alias("sid"), F.col("f.key").alias("skey"), "f.n")
     stays = work.keep(stays, "stays")
+    work.drop("rows", "keys", "parts")
 
     keyed, names = with_key(docs, docs.columns, text_col, key)
     own = names[docs.columns.index(id_col)]

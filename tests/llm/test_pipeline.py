@@ -1,10 +1,13 @@
+import os
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from inkwell.llm import jaccard, simhash
+from inkwell.llm import jaccard, shared, simhash
 from inkwell.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -146,3 +149,26 @@ def test_only_wanted_texts_are_dealt(spark, tmp_path):
     docs = spark.createDataFrame([(t,) for t in texts + texts[:600]], "text string").repartition(3)
     work = jaccard.Workspace(spark, "wanted")
     assert sorted((r.key, r.text) for r in jaccard._texts_of(wanted, docs, work, "some").collect()) == sorted(zip(keys[::500].tolist(), texts[::500], strict=True))
+
+
+def test_near_copies_leave_no_tables_behind(spark, monkeypatch):
+    """Only what the last, lazy step reads stays on disk."""
+    made = []
+    monkeypatch.setattr(simhash, "Workspace", lambda *a: made.append(jaccard.Workspace(*a)) or made[-1])
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(words[: 60 - k % 3] + [f"x{k // 3}"])) for k in range(30)], "doc_id bigint, text string")
+    kept = simhash.one_of_each(docs, find=jaccard.set_groups, key=jaccard.set_keys)
+    left = {n for n in os.listdir(made[0].path.removeprefix("file://")) if not n.startswith(("edges-", "half-"))}
+    assert left == {"stays"} and 0 < kept.count() < 30
+
+
+def test_shuffle_files_go_when_a_table_is_kept(spark, monkeypatch):
+    monkeypatch.setattr(shared, "SWEEP_S", 0)
+    tracker, work = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker(), shared.Workspace(spark, "swept")
+    for k in range(20):
+        work.keep(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), f"t-{k}")
+    for _ in range(50):
+        if tracker.shuffleStatuses().size() < 20:
+            break
+        time.sleep(0.1)
+    assert tracker.shuffleStatuses().size() < 20
