@@ -10,7 +10,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,10 +122,14 @@ def score_many(index: Index, queries: DataFrame, key: str = "query") -> DataFram
 
 # --- queries of one or two words --------------------------------------------------------------------------------------
 
-BLOCK = 1 << 15
+BLOCK = 1 << 14
 """Documents, about, whose postings meet in one task."""
 CHUNK = 1 << 20
 """Distinct queries, about, that meet a block in one task."""
+TURN = 1 << 14
+"""Queries whose best are held at once."""
+TOPS = 1 << 14
+"""Terms whose best documents are remembered at once."""
 FOUND = "a string, b string, doc_id bigint, score double, met int"
 _NONE = np.zeros(0, np.int64)
 
@@ -145,57 +148,74 @@ def _nearest(at: np.ndarray, n: np.ndarray, places: np.ndarray, other_at: np.nda
     return out
 
 
-def _best_of_block(size: int):
-    """(term, doc_id, tf, body) of a block of documents and (a, b, idf_a, idf_b), of which b may be null, to FOUND: each query's ``size`` best."""
-    part = [lx.COVERAGE_FLOOR + (1 - lx.COVERAGE_FLOOR) * (met / 2) ** 2 for met in (1, 2)]
-
-    def run(postings: pa.Table, queries: pa.Table) -> pa.Table:
-        term = postings["term"].combine_chunks().dictionary_encode()
-        ids, doc = np.unique(postings["doc_id"].to_numpy(), return_inverse=True)
-        rank = np.argsort(np.argsort(ids.astype(str)))  # ties go by the id as text
-        code = term.indices.to_numpy()
-        order = np.lexsort((doc, code))
-        doc, tf = doc[order], postings["tf"].to_numpy()[order]
-        starts = np.searchsorted(code[order], np.arange(len(term.dictionary) + 1))
-        body = postings["body"].combine_chunks()
-        ends = body.offsets.to_numpy().astype(np.int64)
-        at, many, places = ends[:-1][order], np.diff(ends)[order], body.values.to_numpy()
-        a, b = (pc.index_in(queries[x].combine_chunks(), term.dictionary).fill_null(-1).to_numpy() for x in "ab")
-        single = queries["b"].combine_chunks().is_null().to_numpy(zero_copy_only=False)
-        idf_a, idf_b = (queries[x].to_numpy() for x in ("idf_a", "idf_b"))
-
-        def rows(t: int) -> slice:
-            return slice(starts[t], starts[t + 1]) if t >= 0 else slice(0, 0)
-
-        def weights(at_: slice, idf_: float) -> np.ndarray:
-            return idf_ * tf[at_] / (lx.K1 + tf[at_])
-
-        tops: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-
-        def top(t: int, idf_: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
-            """The best of those with one term: no other without a second term can be among a query's best."""
-            if (t, factor) not in tops:
-                own = rows(t)
-                value = weights(own, idf_) * factor
-                some = np.flatnonzero(value >= np.partition(value, -size)[-size]) if len(value) > size else np.arange(len(value))
-                some = some[np.lexsort((rank[doc[own][some]], -value[some]))[:size]]
-                tops[t, factor] = doc[own][some], value[some]
-            return tops[t, factor]
-
+class _Block:
+    """The postings of a block of documents, by number of the term and by document; those that come are held without their terms' texts."""
+
+    def __init__(self):
+        self.code, self.parts = {}, []
+
+    def add(self, b: pa.RecordBatch) -> None:
+        """Postings (cell, term, _, doc_id, tf, _, body)."""
+        term, body = b.column(1).dictionary_encode(), b.column(6)
+        own = np.array([self.code.setdefault(t, len(self.code)) for t in term.dictionary.to_pylist()], np.int32)
+        many = np.diff(body.offsets.to_numpy()).astype(np.int32)
+        self.parts.append((own[term.indices.to_numpy()], b.column(3).to_numpy(), b.column(4).to_numpy().copy(), many, body.flatten().to_numpy().copy()))
+
+    def close(self) -> None:
+        """All have come."""
+        parts, self.parts = self.parts or [(np.zeros(0, np.int32), _NONE, np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32))], []
+        self.ids = np.unique(np.concatenate([np.unique(p[1]) for p in parts]))
+        self.rank = np.argsort(np.argsort(self.ids.astype(str)))  # ties go by the id as text
+        n = max(len(self.ids), 1)
+        key = np.concatenate([p[0].astype(np.int64) * n + np.searchsorted(self.ids, p[1]) for p in parts])
+        tf, many, self.places = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
+        del parts
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        self.starts = np.searchsorted(key, np.arange(len(self.code) + 1) * n)
+        self.doc = (key % n).astype(np.int32)
+        self.tf = tf[order]
+        self.at = (np.cumsum(many, dtype=np.int64) - many)[order]
+        self.many = many[order]
+        self.tops: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        self.place = np.full(len(self.ids), -1)
+
+    def rows(self, t: int) -> slice:
+        return slice(self.starts[t], self.starts[t + 1]) if t >= 0 else slice(0, 0)
+
+    def top(self, t: int, idf_: float, factor: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best of those with one term: no other without a second term can be among a query's best."""
+        if (t, factor) not in self.tops:
+            own = self.rows(t)
+            value = idf_ * self.tf[own] / (lx.K1 + self.tf[own]) * factor
+            some = np.flatnonzero(value >= np.partition(value, -size)[-size]) if len(value) > size else np.arange(len(value))
+            some = some[np.lexsort((self.rank[self.doc[own][some]], -value[some]))[:size]]
+            if len(self.tops) >= TOPS:
+                self.tops.clear()
+            self.tops[t, factor] = self.doc[own][some], value[some]
+        return self.tops[t, factor]
+
+    def best(self, queries: pa.RecordBatch, size: int) -> pa.RecordBatch:
+        """Queries (cell, a, b, _, idf_a, idf_b, _), of which b may be null, to FOUND: each one's ``size`` best."""
+        doc, tf, starts, place, top, rows = self.doc, self.tf, self.starts, self.place, self.top, self.rows
+        part = [lx.COVERAGE_FLOOR + (1 - lx.COVERAGE_FLOOR) * (met / 2) ** 2 for met in (1, 2)]
+        a, b = (np.array([self.code.get(t, -1) for t in queries.column(k).to_pylist()], np.int64) for k in (1, 2))
+        single = queries.column(2).is_null().to_numpy(zero_copy_only=False)
+        idf_a, idf_b = (queries.column(k).to_numpy() for k in (4, 5))
         found: list[list[np.ndarray]] = [[_NONE], [_NONE], [np.zeros(0)], [_NONE]]
 
         def tell(k: int, docs: np.ndarray, score: np.ndarray, met: np.ndarray) -> None:
-            best = np.lexsort((rank[docs], -score))[:size]
+            best = np.lexsort((self.rank[docs], -score))[:size]
             for column, x in zip(found, (np.full(len(best), k), docs[best], score[best], met[best]), strict=True):
                 column.append(x)
 
         n = np.diff(starts)
         count = [np.where(x >= 0, n[x] if len(n) else 0, 0) for x in (a, b)]
         more = np.where(count[0] >= count[1], a, b)  # the more frequent term
-        place, last = np.full(len(ids), -1), -1
+        last = -1
         for k in np.argsort(more, kind="stable").tolist():
             if single[k]:
-                docs, value = top(int(a[k]), idf_a[k], 1.0)
+                docs, value = top(int(a[k]), idf_a[k], 1.0, size)
                 tell(k, docs, value, np.full(len(docs), 1))
                 continue
             if more[k] != last:
@@ -213,17 +233,53 @@ def _best_of_block(size: int):
                 may = np.flatnonzero(score + lx.PROXIMITY_WEIGHT * (1 + 1e-9) >= np.partition(score, -size)[-size])
                 x, y, score = x[may], y[may], score[may]
             if len(x):
-                score = score + lx.PROXIMITY_WEIGHT * 2 / _nearest(at[x], many[x], places, at[y], many[y])
+                score = score + lx.PROXIMITY_WEIGHT * 2 / _nearest(self.at[x], self.many[x], self.places, self.at[y], self.many[y])
             columns = [(doc[x], score, np.full(len(x), 3))]
             for t, value, bit in ((last, idfs[0], 2 if swapped else 1), (less, idfs[1], 1 if swapped else 2)):
-                docs, alone = top(t, value, part[0])
+                docs, alone = top(t, value, part[0], size)
                 at_other = own if t == last else rows(last)
                 without = ~np.isin(docs, doc[at_other]) if t == last else place[docs] < 0
                 columns.append((docs[without], alone[without], np.full(without.sum(), bit)))
             tell(k, *map(np.concatenate, zip(*columns, strict=True)))
+        place[doc[rows(last)]] = -1
         k, docs, score, met = map(np.concatenate, found)
-        names = [queries[x].take(pa.array(k)).combine_chunks() for x in "ab"]
-        return pa.table([*names, pa.array(ids[docs], pa.int64()), pa.array(score), pa.array(met, pa.int32())], names=["a", "b", "doc_id", "score", "met"])
+        names = [queries.column(c).take(pa.array(k)) for c in (1, 2)]
+        return pa.RecordBatch.from_arrays([*names, pa.array(self.ids[docs], pa.int64()), pa.array(score), pa.array(met, pa.int32())], names=["a", "b", "doc_id", "score", "met"])
+
+
+def _best_of_block(size: int):
+    """Of a block's postings and some queries each one's ``size`` best."""
+
+    def run(postings: _Block, queries: pa.RecordBatch) -> pa.RecordBatch:
+        return postings.best(queries, size)
+
+    return run
+
+
+def _best_of_blocks(size: int):
+    """Rows (cell, a, b, doc_id, x, y, body), sorted by cell, to FOUND.  An even cell has the postings of a block, the next one the queries that meet them."""
+
+    best = _best_of_block(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, number, closed = None, None, False
+        for batch in batches:
+            cell = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)], strict=True):
+                if lo == hi:
+                    continue
+                if cell[lo] // 2 != number:
+                    block, number, closed = None, cell[lo] // 2, False  # the one before goes first
+                    block = _Block()
+                if cell[lo] % 2 == 0:
+                    block.add(batch.slice(lo, hi - lo))
+                    continue
+                if not closed:
+                    block.close()
+                    closed = True
+                for k in range(lo, hi, TURN):
+                    yield best(block, batch.slice(k, min(TURN, hi - k)))
 
     return run
 
@@ -262,7 +318,11 @@ def _search_short(index: Index, queries: DataFrame, size: int, key: str, kept: K
     shapes = shapes.select("a", "b", F.coalesce("idf_a", F.lit(0.0)).alias("idf_a"), F.coalesce("idf_b", F.lit(0.0)).alias("idf_b"))
     shapes = shapes.withColumn("chunk", F.pmod(F.xxhash64("a", "b"), F.lit(chunks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
     cells = postings.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<bigint>")))
-    found = cells.groupBy("block", "chunk").cogroup(shapes.groupBy("block", "chunk")).applyInArrow(_best_of_block(size), FOUND)
+    cell = (F.col("block") * chunks + F.col("chunk")) * 2
+    cells = cells.select(cell.alias("cell"), F.col("term").alias("a"), F.lit(None).cast("string").alias("b"), "doc_id", F.col("tf").alias("x"), F.lit(None).cast("double").alias("y"), "body")
+    shapes = shapes.select((cell + 1).alias("cell"), "a", "b", F.lit(None).cast("bigint").alias("doc_id"), F.col("idf_a").alias("x"), F.col("idf_b").alias("y"), F.lit(None).cast("array<int>").alias("body"))
+    both = cells.unionByName(shapes).repartition(min(4 * blocks * chunks, 10_000), F.floor(F.col("cell") / 2)).sortWithinPartitions("cell")
+    found = both.mapInArrow(_best_of_blocks(size), FOUND)
     best = W.partitionBy("a", "b").orderBy(F.desc("score"), F.col("doc_id").cast("string"))
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size)
     rows = queries.join(found, (queries["a"] == found["a"]) & queries["b"].eqNullSafe(found["b"]))

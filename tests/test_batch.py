@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,31 @@ def test_repeated_queries_are_met_once(spark, index, monkeypatch):
     table = batch.asked(spark.createDataFrame([(k, "docker data") for k in range(500)], "query int, text string"), expand=False, stemmed=index.stemmed)
     rows = batch.search_many(index, table, size=2).collect()
     assert len({r.query for r in rows}) == 500 and made.value == 1
+
+
+def test_queries_pass_a_block_in_turns(monkeypatch):
+    """A block's postings stay, its queries and their best don't: each turn's are given before the next ones are read."""
+    monkeypatch.setattr(batch, "TURN", 4)
+    names = ["cell", "a", "b", "doc_id", "x", "y", "body"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int32())]
+
+    def rows(*given):
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*given, strict=True), kinds, strict=True)], names=names)
+
+    read = []
+
+    def come():
+        for n, cell in enumerate((0, 2)):  # two blocks
+            yield rows(*((cell, "ab"[d % 2], None, 10 * n + d, 1.0 + d, None, [d]) for d in range(4)))
+            yield rows((cell, "a", None, 10 * n + 1, 0.5, None, [3]))
+            for k in range(5):
+                read.append(k)
+                yield rows(*[(cell + 1, "a", "b", None, 1.0, 1.0, None)] * 3, *[(cell + 1, "b", None, None, 1.0, 0.0, None)] * 3)
+
+    got = []
+    for b in batch._best_of_blocks(2)(come()):
+        got.append((len(read), b.to_pylist()))
+    assert [n for n, _ in got] == [k for k in range(1, 11) for _ in range(2)] and all(len(x) <= 8 for _, x in got)
+    first = got[0][1]
+    assert [(r["a"], r["b"], r["doc_id"]) for r in first[:2]] == [("a", "b", 1), ("a", "b", 2)] and [r["met"] for r in first[:2]] == [3, 1]
+    assert [r["doc_id"] for r in got[1][1] if r["b"] is None] == [3, 1] * 2 and {r["doc_id"] // 10 for _, x in got[10:] for r in x} == {1}
