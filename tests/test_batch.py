@@ -136,5 +136,5 @@ def test_queries_pass_a_block_in_turns(monkeypatch):
         got.append((len(read), b.to_pylist()))
     assert [n for n, _ in got] == [k for k in range(1, 11) for _ in range(2)] and all(len(x) <= 8 for _, x in got)
     first = got[0][1]
-    assert [(r["a"], r["b"], r["doc_id"]) for r in first[:2]] == [("a", "b", 1), ("a", "b", 2)] and [r["met"] for r in first[:2]] == [3, 1]
+    assert [(r["a"], r["b"], r["doc_id"]) for r in first[:2]] == [("a", "b", 1), ("a", "b", 3)] and [r["met"] for r in first[:2]] == [3, 2]
     assert [r["doc_id"] for r in got[1][1] if r["b"] is None] == [3, 1] * 2 and {r["doc_id"] // 10 for _, x in got[10:] for r in x} == {1}
